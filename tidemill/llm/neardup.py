@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import vectext as V
 from .components import components
 from .store import Scratch
@@ -190,6 +191,7 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicate documents; see the module's text."""
     spark: SparkSession = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = scratch.put(
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     )
     classes = scratch.put(known.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     heads = scratch.put(
-        known.join(classes, ["k1", "k2"]).filter("doc_id = rep").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "odd"),
+        known.withColumn("rep", F.col("doc_id")).join(classes, ["k1", "k2", "rep"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "odd"),
         "heads",
     )
     spread = heads.select("id", F.explode("bands").alias("bucket"))
