@@ -132,10 +132,10 @@ with recursive worded as (
 ), items as (
   select doc_id, unnest(s) as item from sets
 ), shared as (
-  select a.doc_id as u, b.doc_id as v, count(*) as both from items a join items b on a.item = b.item and a.doc_id < b.doc_id group by all
+  select a.doc_id as u, b.doc_id as v, count(*) as common from items a join items b on a.item = b.item and a.doc_id < b.doc_id group by all
 ), links as (
   select u, v from shared join sets a on a.doc_id = u join sets b on b.doc_id = v
-  where 100 * both >= 80 * (len(a.s) + len(b.s) - both)
+  where 100 * common >= 80 * (len(a.s) + len(b.s) - common)
 ), edges as (
   select u, v from links union select v, u from links
 ), reach as (

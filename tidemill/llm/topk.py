@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id
     lanes = max(1, blocks.count() // 1000)  # a lane lists about a thousand blocks
     lane = F.pmod(F.xxhash64("part"), F.lit(lanes))
     sizes = blocks.filter(~F.col("part").isin(done)).groupBy(lane.alias("lane")).agg(F.collect_list(F.struct("part", "longest")).alias("all"))
-    needs = ready.select("q_part", "need", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long").alias("lane"))
+    needs = ready.select("q_part", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
     meets = needs.join(sizes, "lane").select("q_part", "need", F.explode("all").alias("b")).filter("b.longest >= need * (1 - 1e-9)").select("q_part", F.col("b.part").alias("part"))
     second = meets.join(blocks.select("part", "ids", "vectors"), "part").join(ready, "q_part").drop("part", "need")
     rest = second.mapInArrow(lambda it: _met(it, rotation, k), out)
