@@ -128,7 +128,7 @@ with recursive worded as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents
 ), sets as (
   select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s from worded
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from worded
 ), items as (
   select doc_id, unnest(s) as item from sets
 ), shared as (
@@ -148,8 +148,8 @@ from sets s join reach on origin = s.doc_id group by s.doc_id, s.s
 """,
         "op6_top_k": """
 with whole as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
   from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
