@@ -145,7 +145,8 @@ def reads(s) -> list[str]:
     """Variables that a statement reads."""
     if not isinstance(s, (T.Assign, T.Perform)):
         return []
-    return [s.source.name] * isinstance(s.source, T.Ref) + [op.other for op in s.ops if op.name == "join"]
+    first = [s.source.name] if isinstance(s.source, T.Ref) else []
+    return first + [op.other for op in s.ops if op.name == "join"]
 
 
 def run(spark: SparkSession, text: str, **options) -> DataFrame:
