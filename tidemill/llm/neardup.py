@@ -49,8 +49,8 @@ SAMPLES = ROWS * BANDS
 ODD_BITS = 64 * ODD_WORDS
 #: Estimates this far below the limit are dropped: over six standard errors of a 128-value sample.
 MARGIN = 0.25
-#: Members of a mixed bucket in one block; a task holds two blocks.
-BLOCK = 256
+#: Shingles and documents in one block of a mixed bucket, about; a task holds two blocks.
+BLOCK, BLOCK_DOCS = 500_000, 4000
 _SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>"
 
 
@@ -203,8 +203,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         known.withColumn("rep", F.col("doc_id")).join(classes, ["k1", "k2", "rep"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "odd"),
         "heads",
     )
-    spread = heads.select("id", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("members")).filter("hub <> other").drop("other")
+    spread = heads.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    hubs = spread.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    hubs = scratch.put(hubs, "hubs")  # a join of two shuffles, whose hot partitions Spark can split
     member = scratch.put(spread.join(hubs, "bucket"), "members")
 
     wanted = member.select("id").distinct()
@@ -226,12 +227,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = scratch.put(pairs.mapInArrow(lambda it: _confirm(it, percent), "u long, v long"), "links")
     first = scratch.put(components(links, scratch, "first"), "first")
 
-    tagged = member.select("bucket", "id", "members").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("m"), F.expr("bit_xor(xxhash64(id))").alias("who")).filter("lo <> hi and m > 2")
-    mixed = mixed.groupBy("who").agg(F.min("bucket").alias("bucket"))  # bands with the same members are examined once
+    tagged = member.select("bucket", "id", "members", "n_shingles").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n_shingles").alias("load"), F.max("members").alias("m"), F.expr("bit_xor(xxhash64(id))").alias("who")).filter("lo <> hi and m > 2")
+    # Bands with the same members are examined once.
+    parts = F.ceil(F.greatest(F.max("load") / BLOCK, F.max("m") / BLOCK_DOCS)).cast("int")
+    mixed = scratch.put(mixed.groupBy("who").agg(F.min("bucket").alias("bucket"), parts.alias("parts")).drop("who"), "mixed")
     blocks = (
-        tagged.join(mixed.select("bucket"), "bucket")
-        .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        tagged.select("bucket", "id", "comp").join(mixed, "bucket")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "comp")
