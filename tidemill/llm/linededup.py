@@ -178,10 +178,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     ship(spark)
     scratch = Scratch(spark, "lines")
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.put(texts.mapInArrow(_rows, "doc_id long, keys array<long>, sizes array<int>, marks array<int>, prints array<long>").dropDuplicates(["doc_id"]), "rows")
+    rows = scratch.put(texts.mapInArrow(_rows, "doc_id long, keys array<long>, sizes array<int>, marks array<int>, prints array<long>"), "rows")
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = scratch.put(rows.dropDuplicates(["doc_id"]), "rows-once")
 
     places = rows.select("doc_id", F.explode(F.arrays_zip("marks", "prints")).alias("m")).select(F.col("m.prints").alias("key"), "doc_id", F.col("m.marks").alias("pos"))
     earliest = places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    earliest = scratch.put(earliest, "earliest")  # a join of two shuffles, whose hot partitions Spark can split
     matches = (
         places.join(earliest, "key")
         .filter("doc_id <> e.doc_id or pos <> e.pos")
@@ -202,6 +205,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     runs = repeated_runs(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
     names = [c for c in docs.columns if c not in ("runs", "removed_words")]
     text_at = names.index(text_col)
+    runs = runs.hint("merge")  # how many runs there are depends on the data: one plan at every size
     joined = docs.select(*[docs[c] for c in names]).join(runs, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in names]).schema)
     return joined.mapInArrow(lambda it: _cut_rows((b.slice(i, 500) for b in it for i in range(0, b.num_rows, 500)), text_at), f"{kinds}, runs {_RUN}, removed_words long")
