@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from . import project
@@ -89,7 +90,8 @@ def _do(a) -> int:
         text = _read(a.file)
         if a.verbose:
             print(translate.describe(text), end="")
-        session = Session(_spark(), strict=a.strict, chart_folder=a.charts)
+        # Files that are there are meant; other paths are left to Spark's default file system.
+        session = Session(_spark(), strict=a.strict, chart_folder=a.charts, path_of=lambda p: os.path.abspath(p) if os.path.exists(p) else p)
         df = session.run(text)
         for line in session.messages:
             print(line)
