@@ -201,11 +201,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with shortened texts, and the columns ``runs`` (null: none) and ``removed_words``."""
+    """``docs`` with shortened texts, and the columns ``runs`` (null: none) and ``removed_words`` (in place of columns of that name)."""
     runs = repeated_runs(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
     names = [c for c in docs.columns if c not in ("runs", "removed_words")]
     text_at = names.index(text_col)
+    own = [F.col(f"`{c}`") for c in names]
     runs = runs.hint("merge")  # how many runs there are depends on the data: one plan at every size
-    joined = docs.select(*[docs[c] for c in names]).join(runs, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in names]).schema)
+    joined = docs.select(*own).join(runs, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
     return joined.mapInArrow(lambda it: _cut_rows((b.slice(i, 500) for b in it for i in range(0, b.num_rows, 500)), text_at), f"{kinds}, runs {_RUN}, removed_words long")

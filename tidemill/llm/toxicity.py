@@ -84,9 +84,7 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
         none.bias = 35.0 if len(y) and y.max() > 0 else -35.0
         return none
     counts = np.zeros((2, 1 << BITS))
-    parts = []
     for i, _, row, g in _present(texts):
-        parts.append((row + i, g))
         for k in (0, 1):
             counts[k] += np.bincount(g[y[row + i] == k], minlength=1 << BITS)
     p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
@@ -100,8 +98,9 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
     feature = np.zeros(1 << BITS, np.uint32)
     feature[best] = np.arange(1, len(best) + 1)
     scale = np.concatenate([[0.0], r[best]])
-    rows = np.concatenate([a[feature[g] > 0] for a, g in parts])
-    cols = np.concatenate([feature[g][feature[g] > 0] for _, g in parts]).astype(np.int64)
+    # The texts are read again rather than kept as n-grams: the driver holds one slice and the chosen features.
+    parts = [(row.astype(np.int32) + i, f.astype(np.int32)) for i, _, row, f in _present(texts, feature)]
+    rows, cols = (np.concatenate(x) for x in zip(*parts, strict=True))
     w, b = _logistic(rows, (cols, scale[cols]), len(y), len(scale), y.astype(np.float64))
     return Model(feature, w * scale, b)
 
