@@ -1,4 +1,4 @@
-"""Command line: run, check, emit, plan, new, import, hash, serve."""
+"""Command line: run, check, emit, plan, new, import, hash, bench, serve."""
 
 from __future__ import annotations
 
@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     emit.add_argument("--output")
     sub.add_parser("new", help="start a project").add_argument("folder")
     sub.add_parser("import", help="add a CSV file's type to the project").add_argument("file")
+    sub.add_parser("bench", help="time the air-quality workload on a CSV file").add_argument("file")
     serve = sub.add_parser("serve", help="HTTP service")
     serve.add_argument("--port", type=int, default=8080)
     serve.add_argument("--root", default=".", help="scripts may load files below this folder only")
@@ -76,6 +77,11 @@ def _do(a) -> int:
         from .server import serve
 
         serve(_spark(), a.port, a.root)
+    elif a.do == "bench":
+        from .plans.workload import run_csv
+
+        for name, seconds in run_csv(_spark(), os.path.abspath(a.file) if os.path.exists(a.file) else a.file).items():
+            print(f"{name}: {seconds:.3f} s")
     elif a.do == "check":
         from .plans.check import check
 
