@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get(KEY, None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError(f"{KEY} must name a folder that all executors share")
     base = tempfile.mkdtemp(prefix="tidemill-")
     spark.conf.set(KEY, base)
