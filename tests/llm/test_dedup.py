@@ -177,23 +177,61 @@ def test_later_copies_of_passages_go(frame):
     assert line_dedup(df.limit(0)).collect() == []
 
 
-def test_line_dedup_leaves_one_copy_of_everything(spark):
+def brute_repeats(rows, n=50):
+    """Word numbers inside a later occurrence of any n words, by document."""
+    seen, out = set(), defaultdict(set)
+    for i, text in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(FOLD))
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            if run in seen:
+                out[i] |= set(range(k, k + n))
+            seen.add(run)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: r for r in line_dedup(docs).collect()}
-    assert before.keys() == after.keys()
-    left = defaultdict(int)
-    kept, gone = set(), set()
-    for i, r in after.items():
-        for line in set(r.text.split("\n")):
-            left[line] += len(line.split()) > 50
-        raw = np.frombuffer(before[i].encode(), np.uint8)
-        keys = linededup.units(raw, np.array([0, len(raw)]))[0].tolist()
+    want = brute_repeats(sorted((r.doc_id, r.text) for r in docs.collect()))
+    got = line_dedup(docs).collect()
+    assert len(got) == docs.count()
+    hits = 0
+    for r in got:
         out = {k for x in r.runs or [] for k in range(x.first, x.last + 1)}
-        kept |= {k for n, k in enumerate(keys) if n not in out}
-        gone |= {k for n, k in enumerate(keys) if n in out}
-    assert max(left.values()) == 1
-    assert gone and gone <= kept
+        assert out <= want[r.doc_id] and r.removed_words == len(out), r.doc_id
+        hits += len(out)
+    assert hits >= 0.98 * sum(map(len, want.values())) > 0
+
+
+def test_passages_are_found_wherever_they_begin_in_a_line(frame):
+    rng = random.Random(21)
+    planted = [passage(rng, rng.randint(50, 90)) for _ in range(10)]
+    rows, starts = [], {}
+    for i in range(200):
+        before, after = (f"a{i} " + passage(rng, rng.randint(0, 30)), f"z{i} " + passage(rng, rng.randint(0, 30)))
+        starts[i] = len(before.split())
+        again = planted[i % 10].split(" ") if i >= 10 else []
+        again = "".join(w + rng.choice("  \n") for w in again).strip()  # copies are wrapped anew
+        rows.append((i, f"{before} {planted[i]} {after}" if i < 10 else f"{before} {again} {after}"))
+    want = brute_repeats(rows)
+    got = {r.doc_id: r for r in line_dedup(frame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert all(got[i].removed_words == 0 and got[i].text == t for i, t in rows[:10])
+    for i, t in rows[10:]:
+        out = {k for x in got[i].runs for k in range(x.first, x.last + 1)}
+        at = starts[i]
+        assert set(range(at, at + len(planted[i % 10].split()))) <= out <= want[i], i
+        assert got[i].text.split() == [x for k, x in enumerate(t.split()) if k not in out], i
+
+
+def test_cut_keeps_lines_apart():
+    text = b"a b\nc d e\nf g\nh"
+    assert linededup.cut(text, [{"first": 2, "last": 4}]) == (b"a b\nf g\nh", 3)
+    assert linededup.cut(text, [{"first": 1, "last": 3}]) == (b"a e\nf g\nh", 3)
+    assert linededup.cut(text, [{"first": 1, "last": 4}, {"first": 3, "last": 4}]) == (b"a\nf g\nh", 4)
+    assert linededup.cut(text, [{"first": 2, "last": 5}]) == (b"a b\ng\nh", 4)
+    assert linededup.cut(text, [{"first": 6, "last": 9}]) == (b"a b\nc d e\nf", 2)
+    assert linededup.cut(text, [{"first": 0, "last": 99}]) == (b"", 8)
+    assert linededup.cut("é x ü".encode(), [{"first": 1, "last": 1}]) == ("é ü".encode(), 1)
 
 
 def test_repeated_rows_of_a_document(frame):
