@@ -25,7 +25,7 @@ SAMPLE, LONGEST = 8000, 20_000
 BITS, SIZES = 20, (4, 5)
 FEATURES = 1024
 SMOOTH = 1.0
-LAMBDA = 2e-3
+LAMBDA = 1e-4
 
 
 def _present(column: pa.Array, keep: np.ndarray | None = None):
@@ -69,7 +69,7 @@ def _logistic(rows, cols, n, m, y, steps=300):
     for t in range(1, steps + 1):
         z = np.bincount(rows, value * w[at], n) + b
         d = (1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))) - y) / n
-        gw, gb = np.bincount(at, value * d[rows], m) + LAMBDA * w / m, float(d.sum())
+        gw, gb = np.bincount(at, value * d[rows], m) + LAMBDA * w, float(d.sum())
         mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
