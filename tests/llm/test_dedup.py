@@ -223,6 +223,24 @@ def test_passages_are_found_wherever_they_begin_in_a_line(frame):
         assert got[i].text.split() == [x for k, x in enumerate(t.split()) if k not in out], i
 
 
+def test_edited_early_copies_hide_no_later_ones(frame):
+    rng = random.Random(34)
+    rows = []
+    for n in (50, 52, 60, 75):
+        hot = passage(rng, n).split()
+        for k in range(30):
+            own = list(hot)
+            if k < 6:  # a new word in the middle third
+                own[rng.randrange(n // 3, 2 * n // 3)] = f"new{n}x{k}"
+            rows.append((len(rows), f"{passage(rng, rng.randint(5, 40))} {' '.join(own)} {passage(rng, rng.randint(5, 40))}"))
+    want = brute_repeats(rows)
+    assert all(len(want[i]) >= 50 for i, _ in rows if 7 <= i % 30)
+    got = {r.doc_id: r for r in line_dedup(frame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for i, t in rows:
+        out = {k for x in got[i].runs or [] for k in range(x.first, x.last + 1)}
+        assert out == want.get(i, set()) and got[i].removed_words == len(out), i
+
+
 def test_cut_keeps_lines_apart():
     text = b"a b\nc d e\nf g\nh"
     assert linededup.cut(text, [{"first": 2, "last": 4}]) == (b"a b\nf g\nh", 3)
@@ -239,3 +257,13 @@ def test_repeated_rows_of_a_document(frame):
     t = passage(rng, 80)
     got = line_dedup(frame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text == "") for r in got) == [(0, False), (1, False), (1, False), (2, True)]
+
+
+def test_every_step_sees_the_same_text_of_a_repeated_id(frame):
+    rng = random.Random(9)
+    hot = passage(rng, 60).split()
+    rows = [(1, " ".join([*hot[:25], "new", *hot[26:]]))]
+    rows += [(i, t) for i in range(2, 12) for t in (f"a{i} " + " ".join(hot), f"b{i}")]
+    got = line_dedup(frame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == f"a{r.doc_id}" for r in got if r.doc_id > 2 and r.text.startswith("a"))

@@ -8,11 +8,13 @@ that two places share, wherever it begins in either, holds the same fingerprints
 Each fingerprint's earliest occurrence (by document id, then position) is joined to every later
 one: as many matches as occurrences, however common the line.  A match is extended
 word by word in both directions; a run of at least ``min_words`` words is deleted from the later place.
-Matches whose run ends inside an already deleted one are skipped.
+Matches whose run ends inside an already deleted one are only looked at for windows before it.
 
-A fingerprint is met only at its earliest place.  Where that place shares fewer than ``min_words`` words around it (an edited
-copy, say), a longer copy of a third text is found through the run's other fingerprints, one for each 16 words on average; what
-has none is kept.  Measured against brute force on 10,000 documents: 99.6% of the words in repeated runs go, no others.
+Where the earliest place does not share all of the ``min_words`` words long windows around a fingerprint (it is an edited copy, say),
+those windows meet each other by their own hashes, again each its earliest place: first by hashes of the 16 bits a word
+that are at hand, then, for the texts with a window that occurs twice so, by 64-bit hashes made from the texts.  The earliest place of
+a fingerprint needs no part in this: who shares a window with it has met it.  So exactly the words go that lie in a later
+occurrence of any ``min_words`` consecutive words.
 
 Words are compared by 64-bit hashes of lines at fingerprints and by 16 bits a word beyond them, so a run's end may
 take in a word too many once in 65,536 runs.
@@ -36,6 +38,7 @@ from .store import Scratch
 GRAM, MIN_WORDS = 20, 50
 WINDOW = MIN_WORDS - GRAM + 1
 _RUN = "array<struct<first: int, last: int, words: int, source: long>>"
+_ARROW_RUN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -104,9 +107,41 @@ def extend(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return i - _common(a[:i][::-1], b[:j][::-1]), i + _common(a[i:], b[j:]) - 1
 
 
-def _extended(batches, min_words):
+def windows(key: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the ``width`` words from each start."""
+    h = np.zeros(len(starts), np.uint64)
+    for k in range(width):
+        h = h * V.MULT[300] + key[starts + k]
+    return V.mix(h).view(np.int64)
+
+
+def _matched(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], min_words: int, window: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """First and last words of the runs of a that are in b too, and the starts of the windows around a's places that are in none of them."""
+    runs, since, done, shift = [], 0, -1, None
+    open_ = np.zeros(max(len(a) - min_words + 1, 0), bool)
+    for i, j in places:
+        open_[max(i - window + 1, 0) : i + 1] = True
+        if i <= done and i - j == shift:
+            continue
+        beyond = done + 1
+        if i <= done and (beyond >= len(a) or beyond - i + j >= len(b) or a[beyond] != b[beyond - i + j]):
+            back = min(i, j, window - 1)  # no further than windows with this place reach
+            first, last = (x + i - back for x in extend(a[i - back : i + min_words], b[j - back : j + min_words], back, back))
+        else:
+            first, last = extend(a, b, i, j)
+        if last - first + 1 >= min_words and (last > done or first < since):
+            runs.append((first, last))
+            since = min(since, first) if first <= done + 1 else first
+            if last > done:
+                done, shift = last, i - j
+    for first, last in runs:
+        open_[first : last - min_words + 2] = False
+    return runs, np.flatnonzero(open_)
+
+
+def _extended(batches, min_words, window):
     for batch in batches:
-        keep, found = [], []
+        found, starts, texts, before = [], [], [], 0
         places = batch.column("matches")
         bounds, flat = places.offsets.to_numpy(), places.values
         pos, at = (flat.field(c).to_numpy() for c in ("pos", "at"))
@@ -114,20 +149,51 @@ def _extended(batches, min_words):
             a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u2") for c in ("words", "source_words"))
             mine = slice(bounds[k], bounds[k + 1])
             order = np.lexsort((at[mine], pos[mine]))
-            source, done, runs = batch.column("source")[k].as_py(), -1, []
-            for i, j in zip(pos[mine][order].tolist(), at[mine][order].tolist(), strict=True):
-                beyond = done + 1
-                if i <= done and (beyond >= len(a) or beyond - i + j >= len(b) or a[beyond] != b[beyond - i + j]):
-                    continue
-                first, last = extend(a, b, i, j)
-                if last - first + 1 >= min_words and last > done:
-                    runs.append({"first": first, "last": last, "words": last - first + 1, "source": source})
-                    done = last
-            if runs:
-                keep.append(k)
-                found.append(runs)
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array(found, kind)], ["doc_id", "runs"])
+            source = batch.column("source")[k].as_py()
+            runs, rest = _matched(a, b, list(zip(pos[mine][order].tolist(), at[mine][order].tolist(), strict=True)), min_words, window)
+            found.append([{"first": f, "last": t, "words": t - f + 1, "source": source} for f, t in runs])
+            starts.append(rest)
+            if len(rest):
+                texts.append((before, a, rest))
+                before += len(a)
+        key = np.concatenate([a for _, a, _ in texts]).astype(np.uint64) if texts else np.zeros(0, np.uint64)
+        hashes = windows(key, np.concatenate([rest + n for n, _, rest in texts]) if texts else np.zeros(0, np.int64), min_words)
+        at = _lists(starts, np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _ARROW_RUN), at, pa.ListArray.from_arrays(at.offsets, pa.array(hashes))], ["doc_id", "runs", "starts", "hashes"])
+
+
+def _hashed(batches, min_words):
+    """The 64-bit hashes of the windows that begin at ``starts``."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch = whole.slice(k, 1000)
+            data, offsets = V.utf8(batch.column("text"))
+            starts, hashes = batch.column("starts"), []
+            for i, j in V.slices(offsets):
+                key, _, _, row = V.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = V.row_bounds(row, 0, j - i)
+                own = [starts[n].values.to_numpy() + at[n - i] for n in range(i, j)]
+                hashes.append(windows(key, np.concatenate(own), min_words))
+            lists = pa.ListArray.from_arrays(_lists([x.values.to_numpy() for x in starts], np.int32).offsets, pa.array(np.concatenate(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), starts, lists], ["doc_id", "starts", "hashes"])
+
+
+def _joined(batches, min_words):
+    """Runs of windows that follow each other both here and in their earlier document."""
+    for batch in batches:
+        found = []
+        for places in batch.column("places").to_pylist():
+            runs, before = [], None
+            for p in sorted(places, key=lambda p: p["pos"]):
+                now = (p["source"], p["pos"] - p["at"], p["pos"])
+                if before and now == (*before[:2], before[2] + 1):
+                    runs[-1]["last"] += 1
+                    runs[-1]["words"] += 1
+                else:
+                    runs.append({"first": p["pos"], "last": p["pos"] + min_words - 1, "words": min_words, "source": p["source"]})
+                before = now
+            found.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _ARROW_RUN)], ["doc_id", "runs"])
 
 
 def cut(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
@@ -184,9 +250,15 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     gram = min(GRAM, min_words)
     window = min_words - gram + 1
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.put(texts.mapInArrow(lambda it: _rows(it, gram, window), "doc_id long, words binary, marks array<int>, prints array<long>"), "rows")
+
+    def prepared(texts, name):
+        return scratch.put(texts.mapInArrow(lambda it: _rows(it, gram, window), "doc_id long, words binary, marks array<int>, prints array<long>"), name)
+
+    rows = prepared(texts, "rows")
     if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = scratch.put(rows.dropDuplicates(["doc_id"]), "rows-once")
+        # All steps have to see the same text of an id.
+        texts = scratch.put(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts-once")
+        rows = prepared(texts, "rows-once")
 
     places = rows.select("doc_id", F.explode(F.arrays_zip("marks", "prints")).alias("m")).select(F.col("m.prints").alias("key"), "doc_id", F.col("m.marks").alias("pos"))
     earliest = places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -202,7 +274,31 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
         .join(rows.select(F.col("doc_id").alias("source"), F.col("words").alias("source_words")), "source")
         .select("doc_id", "source", "matches", "words", "source_words")
     )
-    runs = full.mapInArrow(lambda it: _extended((b.slice(i, 200) for b in it for i in range(0, b.num_rows, 200)), min_words), f"doc_id long, runs {_RUN}")
+    kinds = f"doc_id long, runs {_RUN}, starts array<int>, hashes array<long>"
+    found = scratch.put(full.mapInArrow(lambda it: _extended((b.slice(i, 200) for b in it for i in range(0, b.num_rows, 200)), min_words, window), kinds), "found")
+
+    def occurrences(df):
+        return df.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("m")).select(F.col("m.hashes").alias("key"), "doc_id", F.col("m.starts").alias("pos"))
+
+    def earliest_of(df, name):
+        here = F.struct("doc_id", "pos")
+        return scratch.put(df.groupBy("key").agg(F.min(here).alias("e"), F.max(here).alias("l")).filter("e <> l").drop("l"), name)
+
+    open_ = occurrences(found)
+    again = open_.join(earliest_of(open_, "alike").select("key"), "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    again = scratch.put(again, "again")
+    wanted = scratch.put(again.select(F.col("doc_id").alias("id")), "wanted")  # of known size, so few ids meet the texts without a shuffle of these
+    few = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    exact = scratch.put(few.join(again, "doc_id").mapInArrow(lambda it: _hashed(it, min_words), "doc_id long, starts array<int>, hashes array<long>"), "exact")
+    same = occurrences(exact)
+    later = (
+        same.join(earliest_of(same, "same"), "key")
+        .filter("doc_id <> e.doc_id or pos <> e.pos")
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("pos", F.col("e.doc_id").alias("source"), F.col("e.pos").alias("at"))).alias("places"))
+    )
+    more = later.mapInArrow(lambda it: _joined(it, min_words), f"doc_id long, runs {_RUN}")
+    runs = found.filter("size(runs) > 0").select("doc_id", "runs").unionByName(more)
     return scratch.put(runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
 
