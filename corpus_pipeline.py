@@ -38,9 +38,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    kept = near_duplicates(docs.select(COLUMNS)).filter("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
+    """One document of each group of near-duplicates stays: the one with the smallest id; those without an id stay as they are."""
+    kept = near_duplicates(docs.select(COLUMNS)).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.select(COLUMNS).filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.select(COLUMNS).filter("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,11 @@ def test_pipeline(spark):
     want = sorted(map(tuple, pack(docs, tokenizer()).collect()))
     assert sorted(map(tuple, P.run(spark, sf).collect())) == want
     assert {r[0] for r in want} == ids
+
+
+def test_documents_without_an_id_pass_near_dedup(spark, frame):
+    import corpus_pipeline as P
+
+    rows = [(1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (None, "h i j k l m n", "en", "s", 13)]
+    got = P.near_dedup(spark, frame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "h"), (1, "a")]
