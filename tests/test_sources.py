@@ -141,3 +141,13 @@ def test_streams(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [14, 16, 18]
     with pytest.raises(ScriptError):
         follow(spark, str(tmp_path / "in"), spark.range(1).schema, parse('v a = b |> orderBy("id")').statements[0].ops)
+
+
+def test_a_chart_says_how_many_rows_it_leaves_out(spark, monkeypatch):
+    from tidemill.sources import sinks
+
+    monkeypatch.setattr(sinks, "CHART_ROWS", 3)
+    args = {"kind": "bar", "x": "id", "y": "id"}
+    spec = sinks.chart_spec(spark.range(8), args)
+    assert (spec["totalRows"], spec["shownRows"], len(spec["data"])) == (8, 3, 3) and "3 of 8 rows" in sinks.chart_page(spec)
+    assert "totalRows" not in sinks.chart_spec(spark.range(3), args)
