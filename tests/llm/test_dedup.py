@@ -1,13 +1,13 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tidemill.llm import linededup
 from tidemill.llm.components import components
-from tidemill.llm.exactdedup import directory, exact_duplicates
+from tidemill.llm.exactdedup import directory, exact_duplicates, route
 from tidemill.llm.linededup import extend, line_dedup, winnow
 from tidemill.llm.neardup import near_duplicates
 from tidemill.llm.store import Scratch
@@ -109,7 +109,7 @@ def test_exact_duplicates(frame, weak):
 
     from pyspark.sql import functions as F
 
-    args = {"hash_of": lambda c: (F.length(c) % 3).cast("long"), "digest_of": lambda c: F.substring(c, 1, 1), "capacity": 1} if weak else {}
+    args = {"hash_of": lambda c: F.xxhash64(F.length(c) % 3), "capacity": 1, "hot": 3} if weak else {}
     df = frame([(i, t, 5, "x") for i, t in ROWS], "doc_id long, text string, hash int, keep_id string")
     got = sorted(map(tuple, exact_duplicates(df, **args).collect()), key=repr)
     groups = defaultdict(list)
@@ -127,15 +127,28 @@ def test_exact_duplicates(frame, weak):
 def test_directory_doubles_until_buckets_fit(spark):
     from pyspark.sql import functions as F
 
-    index = spark.range(2000).select(F.expr("cast(if(id < 1500, id % 8, id % 256) as long)").alias("slot"))
-    got = directory(index, 8, 120).collect()
-    counts = defaultdict(int)
-    slots = {r.slot: (r.depth, r.bucket) for r in got}
-    for r in index.collect():
-        counts[slots[r.slot]] += 1
-    assert all(n <= 120 or d == 8 for (d, _), n in counts.items()) and min(d for d, _ in counts) < 8
-    for s, (d, b) in slots.items():
-        assert s >> (8 - d) == b
+    # Half of the hashes share their first 20 bits: one bucket goes on splitting, beyond the bits of the directory's slots.
+    hashes = spark.range(2000).select(F.expr("if(id < 1000, xxhash64(id), shiftrightunsigned(xxhash64(id), 20))").alias("hash"))
+    depths = directory(hashes, 60, Scratch(spark, "t"))
+    counts = Counter((r.depth, r.bucket) for r in route(hashes, depths).collect())
+    assert sum(counts.values()) == 2000 and max(counts.values()) <= 60
+    assert max(d for d, _ in counts) > 20 > min(d for d, _ in counts)
+    for r in route(hashes, depths).collect():
+        assert (r.hash % 2**64) >> (64 - r.depth) == r.bucket
+    assert directory(hashes.limit(0), 60, Scratch(spark, "t")).collect() == []
+
+
+def test_groups_are_made_in_the_buckets_that_the_directory_names(frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import exactdedup
+
+    df = frame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    assert {r.group_size for r in exact_duplicates(df).collect()} == {4}
+    real = exactdedup.route
+    wrong = lambda rows, depths: real(rows, depths).withColumn("bucket", F.col("doc_id") % 2)
+    monkeypatch.setattr(exactdedup, "route", wrong)
+    assert {r.group_size for r in exact_duplicates(df).collect()} == {2}
 
 
 def test_winnowing_guarantees_a_common_fingerprint():
