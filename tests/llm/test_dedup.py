@@ -9,7 +9,7 @@ from tidemill.llm import linededup
 from tidemill.llm.components import components
 from tidemill.llm.exactdedup import directory, exact_duplicates, route
 from tidemill.llm.linededup import extend, line_dedup, winnow
-from tidemill.llm.neardup import near_duplicates
+from tidemill.llm.neardup import near_duplicates, without_near_duplicates
 from tidemill.llm.store import Scratch
 
 DOCS = "doc_id long, text string, bands string, score int, runs int"
@@ -18,23 +18,30 @@ FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def brute_near(rows, n, percent):
-    sets = {}
-    for i, text in rows:
+    """Set size, component's id and kept, row by row."""
+    sets = []
+    for _, text in rows:
         w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(FOLD))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-    parent = {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[root(x)] = min((j for j in (least.get(root(x)), i) if j is not None), default=None)
+    return sorted(((i, len(sets[x]), least[root(x)], i == least[root(x)]) for x, (i, _) in enumerate(rows)), key=repr)
+
+
+def near(df, *args):
+    return sorted(map(tuple, near_duplicates(df, *args).collect()), key=repr)
 
 
 def edited(rng, words, share):
@@ -61,8 +68,7 @@ def corpus():
 @pytest.mark.parametrize(("n", "percent"), [(4, 80), (5, 80), (3, 90)])
 def test_near_duplicates_against_brute_force(frame, corpus, n, percent):
     df = frame([(i, t, "x", 1, 2) for i, t in corpus], DOCS).repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, n, percent).collect()}
-    assert got == brute_near(corpus, n, percent)
+    assert near(df, n, percent) == brute_near(corpus, n, percent)
 
 
 def test_near_duplicates_of_blocks(frame, corpus, monkeypatch):
@@ -70,14 +76,46 @@ def test_near_duplicates_of_blocks(frame, corpus, monkeypatch):
 
     monkeypatch.setattr(neardup, "BLOCK", 300)  # mixed buckets are cut into many blocks
     df = frame([(i, t, "x", 1, 2) for i, t in corpus], DOCS)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, 4, 80).collect()}
-    assert got == brute_near(corpus, 4, 80)
+    assert near(df, 4, 80) == brute_near(corpus, 4, 80)
+
+
+def repeated_ids(seed=11):
+    """Rows that repeat ids with other texts, rows without an id, and near copies among all of them."""
+    rng = random.Random(seed)
+    bases = [[rng.choice(WORDS) for _ in range(80)] for _ in range(8)]
+    rows = [(5, " ".join(bases[0])), (5, " ".join(bases[1])), (9, " ".join([*bases[0][1:], "x"])), (9, " ".join([*bases[1][1:], "y"])), (None, " ".join(bases[2])), (None, " ".join(bases[2]) + " z")]
+    rows += [(rng.choice([None, *range(1, 25)]), " ".join(edited(rng, rng.choice(bases), 0.01))) for _ in range(60)]
+    rows += [(3, None), (3, ""), (None, None), (None, ""), (0, " ".join(bases[3])), (None, " ".join(bases[3])), (7, " ".join(bases[4])), (7, " ".join(bases[4]))]
+    return rows
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(frame):
+    rows = repeated_ids()
+    df = frame([(i, t, "x", 1, 2) for i, t in rows], DOCS).repartition(5)
+    assert near(df, 4, 80) == brute_near(rows, 4, 80)
+
+
+def test_one_row_of_each_component_stays(frame):
+    rows = repeated_ids()
+    got = [(r.doc_id, r.text) for r in without_near_duplicates(frame([(i, t, "x", 1, 2) for i, t in rows], DOCS), 4, 80).collect()]
+    want = [r for r in brute_near(rows, 4, 80) if r[1]]  # with words
+    assert len([1 for _, t in got if t]) == len(rows_of_components(rows, 4, 80))
+    assert {i for i, t in got if t and i is not None} <= {r[2] for r in want}
+    assert {r[2] for r in want} - {None} == {i for i, t in got if t and i is not None}
+    assert sorted([x for x in got if not x[1]], key=repr) == [(3, ""), (3, None), (None, ""), (None, None)]
+
+
+def rows_of_components(rows, n, percent):
+    """One number for each component with words, whatever its ids."""
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    return {r[2] for r in brute_near(numbered, n, percent) if r[1]}
 
 
 def test_near_duplicates_of_odd_tables(frame):
     assert near_duplicates(frame([], DOCS)).collect() == []
+    assert without_near_duplicates(frame([], DOCS)).collect() == []
     one = near_duplicates(frame([(1, "a b c d e f", "", 0, 0), (1, "a b c d e f", "", 0, 0), (None, "a b c d e f", "", 0, 0), (9, None, None, None, None)], DOCS)).collect()
-    assert sorted((r.doc_id or 0, r.component_id) for r in one) == [(0, 1), (1, 1), (1, 1), (9, 9)]
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in one) == [(0, 1, False), (1, 1, True), (1, 1, True), (9, 9, True)]
 
 
 def test_components(frame, spark):

@@ -10,10 +10,10 @@ Steps, all of them distributed:
 1. One pass over the texts writes a small row per document: set size, a 128-bit
    key of the set, ``BANDS`` band keys of a 128-value MinHash sample, and the odd
    sketch (the sample's values toggled into a 512-bit parity map).
-2. Documents with equal sets form a class; its smallest id goes on alone, so a
-   class of any size costs one row from here.
+2. Documents with equal sets form a class, which has a number of its own and goes on as
+   one row, so a class of any size costs one row from here.
 3. Within each bucket of a band, every member is paired with the bucket's
-   smallest id (a star: as many pairs as members).  A pair whose odd sketches'
+   smallest number (a star: as many pairs as members).  A pair whose odd sketches'
    XOR population count shows a similarity far below the limit is dropped; for the rest
    the full sets are intersected.
 4. Connected components over the confirmed links.  Buckets whose members still lie in
@@ -24,9 +24,14 @@ Steps, all of them distributed:
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8**4)**32 < 5e-8.
 
-Null ``text`` counts as empty; a null id, extra columns and other columns' names don't matter.
-Repeated ids are kept as rows of their own with one component. Results: ``doc_id, n_shingles,
-component_id, kept``; an empty table gives an empty result.
+Rows are told apart by their texts, not by their ids: rows that repeat an id with another text are documents of
+their own, in components of their own.  A component's id is the smallest ``doc_id`` among its rows; rows without an id take
+part, and ``component_id`` is null where no row of a component has one.  ``kept`` says whether ``doc_id`` and ``component_id``
+are the same (null and null are).  Null ``text`` counts as empty; other columns play no part.
+Very long texts are read whole; their sets are as long as they are.  An empty table gives an empty result.
+
+Shingles are compared by 64-bit hashes and equal sets found by 128-bit sums over them: two shingles of one pair of
+documents with ``n`` of them are taken for equal with probability n**2 / 2**64, two sets with 2**-128.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ ODD_BITS = 64 * ODD_WORDS
 MARGIN = 0.25
 #: Shingles and documents in one block of a mixed bucket, about; a task holds two blocks.
 BLOCK, BLOCK_DOCS = 500_000, 4000
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>"
+_SKETCH = "doc_id long, rid long, mark long, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>"
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -106,8 +111,8 @@ def sketch_rows(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     np.add.at(odd, (np.repeat(np.arange(n), SAMPLES), bit.reshape(-1)), 1)
     packed = np.packbits((odd & 1).astype(np.uint8), axis=1).view(np.uint64)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(sizes), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), _longs(bands), _longs(packed)],
-        ["doc_id", "n_shingles", "k1", "k2", "bands", "odd"],
+        [*(batch.column(c) for c in ("doc_id", "rid", "mark")), pa.array(sizes), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), _longs(bands), _longs(packed)],
+        ["doc_id", "rid", "mark", "n_shingles", "k1", "k2", "bands", "odd"],
     )
 
 
@@ -157,8 +162,9 @@ def _confirm(batches, percent):
 
 
 def _forest(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join different components of one pair of blocks: a spanning forest."""
-    ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
+    """Links that join different components, of one block or between two (p < q): a spanning forest."""
+    ids, comps, side = (table.column(c).to_numpy() for c in ("id", "comp", "own"))
+    within = table.column("p")[0].as_py() == table.column("q")[0].as_py()
     items = table.column("items").combine_chunks()
     sets = [_unsigned(items, i) for i in range(len(ids))]
     sizes = np.array([len(s) for s in sets])
@@ -177,7 +183,7 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
     out = []
     for k, i in enumerate(order):
         rest = order[k + 1 :]
-        rest = rest[100 * sizes[i] >= percent * sizes[rest]]
+        rest = rest[(100 * sizes[i] >= percent * sizes[rest]) & (within | (side[rest] != side[i]))]
         near = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1)
         for j in rest[near <= most]:
             x, y = root(int(comps[i])), root(int(comps[j]))
@@ -188,29 +194,40 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of near-duplicate documents; see the module's text."""
+def row_key(id_col: str, text_col: str) -> list:
+    """Two columns that rows have in common if their id and their text are equal: ``rid`` and ``mark``, never null."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.coalesce(doc, F.lit(0)).alias("rid"), F.xxhash64(text, text.isNull(), doc.isNull()).alias("mark")]
+
+
+def _rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, rid, mark, n_shingles, component_id, first`` of each row; ``first``: whether no row of its component comes before it by id and mark."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = row_key(id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.col(text_col).cast("string").alias("text"))
     known = scratch.put(
         texts.mapInArrow(lambda it: (sketch_rows(b.slice(i, 500), shingle) for b in it for i in range(0, b.num_rows, 500)), _SKETCH),
         "sketches",
     )
-    classes = scratch.put(known.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    # Rows without an id come last.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "rid", "mark").alias("place")
+    classes = known.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(place).alias("place"))
+    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "place"), "classes")  # written: its numbers stay
     heads = scratch.put(
-        known.withColumn("rep", F.col("doc_id")).join(classes, ["k1", "k2", "rep"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "odd"),
+        known.join(classes.select("id", "k1", "k2", "place.rid", "place.mark"), ["k1", "k2", "rid", "mark"]).dropDuplicates(["k1", "k2", "rid", "mark"])
+        .select("id", "rid", "mark", "n_shingles", "bands", "odd"),
         "heads",
-    )
+    )
     spread = heads.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("members")).filter("members > 1")
     hubs = scratch.put(hubs, "hubs")  # a join of two shuffles, whose hot partitions Spark can split
     member = scratch.put(spread.join(hubs, "bucket"), "members")
 
-    wanted = member.select("id").distinct()
+    wanted = heads.join(member.select("id").distinct(), "id").select("id", "rid", "mark")
     sets = scratch.put(
-        texts.join(wanted, texts.doc_id == wanted.id).dropDuplicates(["id"]).select("id", "text").mapInArrow(lambda it: _sets_of(it, shingle), "id long, items array<long>"),
+        texts.select("rid", "mark", "text").join(wanted, ["rid", "mark"]).dropDuplicates(["rid", "mark"]).select("id", "text").mapInArrow(lambda it: _sets_of(it, shingle), "id long, items array<long>"),
         "sets",
     )
     small = heads.select("id", "n_shingles", "odd")
@@ -236,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         tagged.select("bucket", "id", "comp").join(mixed, "bucket")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "comp")
+        .select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "comp")
         .join(sets, "id").join(heads.select("id", "odd"), "id")
     )
     more = scratch.put(blocks.groupBy("bucket", "p", "q").applyInArrow(lambda t: _forest(t, percent), "u long, v long"), "more")
@@ -251,11 +268,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         second = components(comp_of(comp_of(more, "u"), "v"), scratch, "second").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
         nodes = first.union(more.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("comp")))
         final = scratch.put(nodes.join(second, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "final")
-    # A document alone in its class and in its component needs no lookup by class: equal sets and links are looked up in turn.
-    named = classes.join(final, classes.rep == final.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    return (
-        known.select("doc_id", "n_shingles", "k1", "k2")
-        .join(named, ["k1", "k2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
+    # A class alone in its component has no entry in ``final``: its own number stands.
+    named = classes.join(final, "id", "left").select("k1", "k2", "place", F.coalesce("comp", "id").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("place").alias("least"))  # combined in the map tasks
+    named = scratch.put(named.select("k1", "k2", "comp").join(least, "comp"), "named")
+    linked = (
+        known.filter("n_shingles > 0").select("doc_id", "rid", "mark", "n_shingles", "k1", "k2")
+        .join(named, ["k1", "k2"])
+        .select("doc_id", "rid", "mark", "n_shingles", F.when(~F.col("least.none"), F.col("least.rid")).alias("component_id"), (place == F.col("least")).alias("first"))
+    )
+    alone = known.filter("n_shingles = 0").select("doc_id", "rid", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row; see the module's text."""
+    found = _rows(docs, shingle, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest id (rows without an id last; texts of one id by hash).
+
+    Rows equal in id and text are one document, of which one row stays.  Documents without words are linked with nothing and stay.
+    """
+    kept = _rows(docs, shingle, percent, id_col, text_col).filter("first").select(F.col("rid").alias("__rid"), F.col("mark").alias("__mark"))
+    rid, mark = row_key(id_col, text_col)
+    both = docs.select("*", rid.alias("__rid"), mark.alias("__mark")).join(kept, ["__rid", "__mark"], "left_semi")
+    return both.dropDuplicates(["__rid", "__mark"]).drop("__rid", "__mark")
