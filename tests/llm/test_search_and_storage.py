@@ -10,7 +10,7 @@ from tidemill.llm import packing, segment, topk
 from tidemill.llm.queries import RULES, tokenizer
 from tidemill.llm.sharding import ShardStore
 from tidemill.llm.store import Scratch
-from tidemill.llm.urlfilter import bloom, judge, possible
+from tidemill.llm.urlfilter import bloom, flagged, judge
 
 ODD = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "null id"), (5, "words " * 40000), (6, "é한😀\x00"), (7, "<|endoftext|> is text"), (8, "q" * 30000)]
 
@@ -99,25 +99,37 @@ def plain_verdict(url, rules, listed):
     return host, path, None, "block" if host + path in listed else "allow"
 
 
-def test_urls(frame):
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_urls(frame, most):
     urls = [None, "", "no scheme", "http://", "http://COM/en/", "https://A.Example.COM/en/77?x#y", "http://example.com/en/6", "http://notexample.com/en/7", "x://b.net/de/8", "x://example.net/de/8",
             "x://a.org#/es/", "x://a.org/es", "x://a.org/es/", "y://user@h.com:80/en/", "http://bad.test/spot", "http://bad.test/spot2", "a://b://c.com/en/", "http://" + "a." * 3000 + "com/en/", "x://İ.com/en/é"]
-    rows = [(i, u, "x", "y") for i, u in enumerate([*urls, *urls])]
-    df = frame(rows, "page_id long, url string, host string, verdict string")
+    rows = [(i, u, "x", "y", 1) for i, u in enumerate([*urls, *urls])]
+    df = frame(rows, "page_id long, url string, host string, verdict string, best int")
     listed = frame([("bad.test/spot",), ("bad.test/spot",), (None,)], "key string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(df, RULES, listed).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(df, RULES, listed, most=most).collect()}
     for i, u, *_ in rows:
         assert got[i] == plain_verdict(u, RULES, {"bad.test/spot"}), u
-    assert judge(df.limit(0), RULES, listed).collect() == []
+    assert judge(df.limit(0), RULES, listed, most=most).collect() == []
+    assert {r.verdict for r in judge(df, [], listed.limit(0), most=most).collect()} == {"allow"}
     assert {r.verdict for r in judge(df, [], None).collect()} == {"allow"}
 
 
 def test_bloom_has_no_false_negatives(spark):
+    from pyspark.sql import functions as F
+
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     assert bloom(keys, 64).count() <= 64
-    probes = spark.range(20000).selectExpr("concat('k', id) as key", "id")
-    passed = possible(probes, keys, 3000)
-    assert passed.filter("id < 3000").count() == 3000 and passed.count() < 5000
+    probes = spark.range(20000).selectExpr("concat('k', id) as name", "id")
+    for most in (1 << 16, 16):  # broadcast, and dealt by blocks
+        passed = flagged(probes, F.col("name"), keys, 3000, most).filter("__maybe")
+        assert passed.filter("id < 3000").count() == 3000 and passed.count() < 5000
+    assert flagged(probes, F.col("name"), keys, 3000, 16, deal=False).filter("__maybe").count() == 20000
+
+
+def test_the_list_meets_possible_hits_in_a_hash_join(spark, frame):
+    df = frame([(1, "http://bad.test/x")], "page_id long, url string")
+    plan = judge(df, RULES, frame([("bad.test/x",)], "key string"))._jdf.queryExecution().toString()
+    assert "strategy=shuffle_hash" in plan
 
 
 def test_shards(spark, frame):

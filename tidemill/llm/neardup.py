@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import vectext as V
 from .components import components
-from .store import Scratch
+from .store import Scratch, row_key
 
 ROWS, BANDS, ODD_WORDS = 4, 32, 8
 SAMPLES = ROWS * BANDS
@@ -194,12 +194,6 @@ def _forest(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """Two columns that rows have in common if their id and their text are equal: ``rid`` and ``mark``, never null."""
-    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return [F.coalesce(doc, F.lit(0)).alias("rid"), F.xxhash64(text, text.isNull(), doc.isNull()).alias("mark")]
-
-
 def _rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, rid, mark, n_shingles, component_id, first`` of each row; ``first``: whether no row of its component comes before it by id and mark."""
     spark: SparkSession = docs.sparkSession

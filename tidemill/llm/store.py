@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
+#: In place of a missing id: such rows come after all others.
+LAST = 2**63 - 1
+_made: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of intermediate tables below the shared one."""
+    """A folder of intermediate tables below the shared one.
+
+    A lazy result may read it, so it stays until ``release`` or the end of the driver's Python process.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _made:
+            atexit.register(_release_all)
+        _made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it read back: short lineage, survives lost executors."""
@@ -40,8 +52,32 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        delete(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
+
+
+def mark() -> int:
+    """A place in the sequence of scratch folders, for ``release``."""
+    return len(_made)
+
+
+def release(since: int = 0) -> None:
+    """Delete the scratch folders made since a ``mark``: for when every result that reads them has been written."""
+    while len(_made) > since:
+        scratch = _made.pop()
+        delete(scratch.spark, scratch.root)
+
+
+def _release_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        release()
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two columns that rows have in common if their id and their text are equal: ``rid`` and ``mark``, never null."""
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return [F.coalesce(doc, F.lit(LAST)).alias("rid"), F.xxhash64(text, text.isNull(), doc.isNull()).alias("mark")]
 
 
 def filesystem(spark: SparkSession, path: str):

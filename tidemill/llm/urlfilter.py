@@ -1,15 +1,16 @@
 """URL verdicts: a blocked Bloom filter passes possible hits to an exact hash join; DataFrame operations only.
 
-The list has two kinds of entries, all of them canonical URL strings: rules (a host with its subdomains and a path
-prefix, written ``host/path``, allow or block) and single listed URLs (block).  A URL is looked up by its own canonical form and, for
-each shape that occurs among the rules (labels of the host, characters of the path), by the host's last labels
-joined to the path's first characters.  The filter has 256-bit blocks of four words, eight bits a key; its size is at most
-``MAX_BLOCKS`` blocks, so it may always be broadcast.  A longer list only raises the share of false
-positives, which the join on the keys themselves removes.
+The list has two kinds of entries: rules (a host with its subdomains and a path prefix, written ``host/path``, allow or block)
+and single listed URLs (block), which are canonical strings.  Rules are part of the query and few: for each shape that
+occurs among them (labels of the host, characters of the path) a URL's host and path give one string, which is looked up in a
+constant map, row by row.  Single URLs may be many.  A blocked Bloom filter holds them: 256-bit blocks of four words, eight bits a
+key.  Up to ``MAX_BLOCKS`` blocks it is broadcast; a larger filter is dealt by ranges of blocks, and the URLs are shuffled to it.
+URLs that it does not pass are done; those that it passes meet the list itself in a hash join, which removes
+false positives.
 
 The longest fitting rule decides (of equal ones the string that sorts first); without a rule, block if the URL is listed, else allow.
-Null URLs and URLs without ``://`` have empty host and path, fit no rule and are allowed.  Rows that repeat an id are judged one by one; an empty
-table or list is allowed, other columns play no part.
+Null URLs and URLs without ``://`` have empty host and path, fit no rule and are allowed.  URLs are read whole, however long.  Rows that
+repeat an id or a URL are judged one by one; an empty table or list is allowed, other columns play no part.
 """
 
 from __future__ import annotations
@@ -50,56 +51,67 @@ def _place(key: Column, blocks: int) -> list[Column]:
         word = F.lit(0).cast("long")
         for p in at:
             word = word.bitwiseOR(F.when(F.shiftright(p, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long")))
-        words.append(word.alias(f"w{w}"))
-    return [F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), *words]
+        words.append(word.alias(f"__w{w}"))
+    return [F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__block"), *words]
 
 
 def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """The filter as rows (block, w0..w3), one for each block that holds a key."""
+    """The filter as rows (block and four words), one for each block that holds a key."""
     placed = keys.select(*_place(F.col("key"), blocks))
-    return placed.groupBy("block").agg(*[F.expr(f"bit_or(w{w})").alias(f"f{w}") for w in range(WORDS)])
+    return placed.groupBy("__block").agg(*[F.expr(f"bit_or(__w{w})").alias(f"__f{w}") for w in range(WORDS)])
 
 
-def possible(probes: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
-    """Rows of ``probes`` whose ``key`` the filter over ``keys`` lets through."""
-    blocks = min(MAX_BLOCKS, 1 << max(0, math.ceil(math.log2(max(n_keys, 1) / KEYS_PER_BLOCK))))
+def flagged(probes: DataFrame, key: Column, keys: DataFrame, n_keys: int, most: int = MAX_BLOCKS, deal: bool = True) -> DataFrame:
+    """``probes`` with the column ``__maybe``: false only if ``key`` is not among the ``key`` of ``keys``.
+
+    Beyond ``most`` blocks the filter is not broadcast: with ``deal`` the probes are shuffled to it, without it every row may be a hit.
+    """
+    blocks = 1 << max(0, math.ceil(math.log2(max(n_keys, 1) / KEYS_PER_BLOCK)))
+    if blocks > most and not deal:
+        return probes.withColumn("__maybe", F.lit(True))
+    held = bloom(keys, blocks)
     names = probes.columns
-    hit = probes.select("*", *_place(F.col("key"), blocks)).join(F.broadcast(bloom(keys, blocks)), "block")
+    placed = probes.select("*", *_place(key, blocks)).join(F.broadcast(held) if blocks <= most else held, "__block", "left")
+    hit = F.lit(True)
     for w in range(WORDS):
-        hit = hit.filter(F.col(f"f{w}").bitwiseAND(F.col(f"w{w}")) == F.col(f"w{w}"))
-    return hit.select(*names)
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+        hit = hit & (F.col(f"__f{w}").bitwiseAND(F.col(f"__w{w}")) == F.col(f"__w{w}"))
+    return placed.select(*[F.col(f"`{c}`") for c in names], F.coalesce(hit, F.lit(False)).alias("__maybe"))
+
+
+def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """A struct (rule, verdict) of the longest fitting rule; null without one."""
+    if not rules:
+        return F.lit(None).cast("struct<n: int, rule: string, verdict: string>")
+    table: dict[str, str] = {}
+    for h, p, v in rules:
+        table.setdefault(h + p, v)
+    known = F.create_map(*[F.lit(x) for entry in sorted(table.items()) for x in entry])
+    labels = F.split(host, r"\.")
+    found = []
+    for k, n in sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules}):
+        own = F.concat(F.substring_index(host, ".", -k), F.substring(path, 1, n))
+        fits = (F.size(labels) >= k) & (F.length(path) >= n) & (host != "") & F.map_contains_key(known, own)
+        found.append(F.when(fits, F.struct((-F.length(own)).alias("n"), own.alias("rule"), F.element_at(known, own).alias("verdict"))))
+    return F.array_min(F.array_compact(F.array(*found)))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", most: int = MAX_BLOCKS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` per row.
 
-    ``rules``: (host, path prefix, allow or block); ``listed``: canonical URL strings in the column ``key``.
+    ``rules``: (host, path prefix, allow or block), a host and a prefix given twice count as first given; ``listed``: canonical URL
+    strings in the column ``key``.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     host, path = parts(F.col(url_col).cast("string"))
-    rows = scratch.put(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")), "rows")
-    schema = "key string, verdict string, rule boolean"
-    entries = spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
-    if rules:
-        values = [F.struct(F.lit(h + p).alias("key"), F.lit(v).alias("verdict"), F.lit(True).alias("rule")) for h, p, v in rules]
-        entries = spark.range(1).select(F.inline(F.array(*values)))
-    if listed is not None:
-        entries = entries.unionByName(listed.select("key").filter("key is not null").distinct().select("key", F.lit("block").alias("verdict"), F.lit(False).alias("rule")))
-    entries = scratch.put(entries, "entries")
-    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules})
-
-    labels = F.split("host", r"\.")
-    looked = [F.struct(canonical(F.col("host"), F.col("path")).alias("key"), F.lit(False).alias("rule"))]
-    for k, n in shapes:
-        fits = (F.size(labels) >= k) & (F.length("path") >= n) & (F.col("host") != "")
-        looked.append(F.when(fits, F.struct(F.concat(F.substring_index("host", ".", -k), F.substring("path", 1, n)).alias("key"), F.lit(True).alias("rule"))))
-    probes = rows.select("row", F.explode(F.array(*looked)).alias("x")).filter("x is not null").select("row", "x.key", "x.rule").filter("key <> ''")
-    hits = possible(probes, entries.select("key"), entries.count())
-    exact = hits.join(entries, ["key", "rule"])
-    found = exact.groupBy("row").agg(
-        F.min(F.when(F.col("rule"), F.struct((-F.length("key")).alias("n"), "key", "verdict"))).alias("best"),
-        F.max(F.when(~F.col("rule"), F.lit(1))).alias("listed"),
-    )
-    verdict = F.coalesce("best.verdict", F.when(F.col("listed") == 1, "block"), F.lit("allow"))
-    return rows.join(found, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("best", ruled(F.col("host"), F.col("path"), rules))
+    result = ["page_id", "host", "path", F.col("best.rule").alias("rule")]
+    if listed is None:
+        return rows.select(*result, F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    keys = scratch.put(listed.select("key").filter("key is not null and key <> ''").distinct(), "listed")
+    key = canonical(F.col("host"), F.col("path"))
+    marked = flagged(rows.withColumn("url_key", key), F.col("url_key"), keys, keys.count(), most)
+    marked = scratch.put(marked, "marked")
+    asked = F.col("__maybe") & F.col("best").isNull()
+    clear = marked.filter(~asked).select(*result, F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    exact = marked.filter(asked).join(keys.hint("shuffle_hash").withColumn("hit", F.lit(True)).withColumnRenamed("key", "url_key"), "url_key", "left")
+    return clear.unionByName(exact.select(*result, F.when(F.col("hit"), "block").otherwise("allow").alias("verdict")))
