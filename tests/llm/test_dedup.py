@@ -220,38 +220,83 @@ def test_later_copies_of_passages_go(frame):
     got = {r.doc_id: r for r in line_dedup(df).collect()}
     text = {i: r.text for i, r in got.items()}
     was = dict(rows)
-    for i in (1, 6, 7, 8, 9, 10, 12):
+    for i in (1, 6, 8, 9, 10, 12):
         assert text[i] == was[i] and got[i].runs is None and got[i].removed_words == 0, i
     assert text[2] == f"{own[2]}\n{own[3]}" and got[2].removed_words == 60
-    assert text[3] == "" and text[4] == f"{own[4]}\n{lines}\n{own[5]}" and text[5] == f"{own[6]}\n"
+    assert text[7] == own[8] and text[3] == "" and text[4] == f"{own[4]}\n{lines}\n{own[5]}" and text[5] == f"{own[6]}\n"
     assert text[11].count("same") < 60 and got[2].bands == "x" and got[2].score == 1
     assert line_dedup(df.limit(0)).collect() == []
 
 
-def brute_repeats(rows, n=50):
-    """Word numbers inside a later occurrence of any n words, by document."""
-    seen, out = set(), defaultdict(set)
-    for i, text in rows:
+def brute_repeats(rows, n=50, least=5):
+    """Word numbers inside a later occurrence of any n words or of whole lines with ``least`` words, by row (ids None come last)."""
+    seen, seen_lines, out = set(), set(), defaultdict(set)
+    for x, (_, text) in enumerate(rows):
         w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(FOLD))
         for k in range(len(w) - n + 1):
             run = tuple(w[k : k + n])
             if run in seen:
-                out[i] |= set(range(k, k + n))
+                out[x] |= set(range(k, k + n))
             seen.add(run)
+        ends = np.cumsum([len(re.findall("[^\x20\x09-\x0d]+", line)) for line in (text or "").split("\n")]).tolist()
+        ends = [0, *sorted(set(ends) - {0})]
+        for i, a in enumerate(ends):
+            for b in ends[i + 1 :]:
+                if b - a >= least:
+                    run = hash(tuple(w[a:b]))
+                    if run in seen_lines:
+                        out[x] |= set(range(a, b))
+                    seen_lines.add(run)
     return out
 
 
+def removed(r):
+    return {k for x in r.runs or [] for k in range(x.first, x.last + 1)}
+
+
 def test_line_dedup_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want = brute_repeats(sorted((r.doc_id, r.text) for r in docs.collect()))
-    got = line_dedup(docs).collect()
-    assert len(got) == docs.count()
-    hits = 0
-    for r in got:
-        out = {k for x in r.runs or [] for k in range(x.first, x.last + 1)}
-        assert out <= want[r.doc_id] and r.removed_words == len(out), r.doc_id
-        hits += len(out)
-    assert hits >= 0.98 * sum(map(len, want.values())) > 0
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = brute_repeats(rows)
+    got = {r.doc_id: r for r in line_dedup(docs).collect()}
+    assert len(got) == docs.count() and sum(map(len, want.values())) > 0
+    for x, (i, _) in enumerate(rows):
+        assert removed(got[i]) == want.get(x, set()) and got[i].removed_words == len(want.get(x, set())), i
+
+
+def test_short_lines_and_blocks_of_lines(frame):
+    rng = random.Random(6)
+    line, block = passage(rng, 9), "\n".join(passage(rng, 15) for _ in range(3))
+    stubs = ["one two", "three", "four five six", "seven"]  # too short alone
+    rows = [(i, "\n".join([f"a{i} b{i}", passage(rng, 12), line if i % 2 else block, passage(rng, 12), *stubs[: 2 + i % 3], f"z{i}"])) for i in range(50)]
+    rows += [(50, f"\n\n{line.upper()}\r\n \n"), (51, f"{line} more"), (52, "three\nfour five six\nseven\n" * 2)]
+    want = brute_repeats(rows)
+    got = {r.doc_id: r for r in line_dedup(frame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for x, (i, _) in enumerate(rows):
+        assert removed(got[i]) == want.get(x, set()), i
+    assert sum(line in r.text for r in got.values()) == 2 and sum(block in r.text for r in got.values()) == 1  # 51 has no such line
+    assert got[50].text == "" and got[51].removed_words == 0
+
+
+@pytest.mark.parametrize("blocks", [1 << 18, 0])
+def test_line_dedup_of_repeated_and_missing_ids(frame, monkeypatch, blocks):
+    monkeypatch.setattr(linededup, "FILTER_BLOCKS", blocks)  # with and without the filter before the joins
+    rng = random.Random(28)
+    hot, line = passage(rng, 60), passage(rng, 9)
+    rows = []
+    for i in range(28):  # each id twice: a text of its own, and a copy
+        rows += [(i, passage(rng, 70)), (i, f"{passage(rng, 5)}\n{line}\n{hot} {i}")]
+    rows += [(None, hot), (None, passage(rng, 60)), (None, line)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    got = line_dedup(frame([(i, t, 7) for i, t in rows], "doc_id long, text string, removed_words int").repartition(5)).collect()
+    assert len(got) == len(rows)
+    text = Counter((r.doc_id, r.text) for r in got)
+    for i, t in rows[:56:2]:
+        assert text[i, t] == 1  # what is there once stays whole
+    want = brute_repeats(order)
+    lost = Counter(order[x][0] for x, gone in want.items() for _ in gone)
+    assert Counter({i: n for i, n in lost.items() if n}) == Counter(r.doc_id for r in got for _ in removed(r))
+    assert text[None, ""] == 2 and text[None, rows[57][1]] == 1
 
 
 def test_passages_are_found_wherever_they_begin_in_a_line(frame):
@@ -268,9 +313,8 @@ def test_passages_are_found_wherever_they_begin_in_a_line(frame):
     got = {r.doc_id: r for r in line_dedup(frame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert all(got[i].removed_words == 0 and got[i].text == t for i, t in rows[:10])
     for i, t in rows[10:]:
-        out = {k for x in got[i].runs for k in range(x.first, x.last + 1)}
-        at = starts[i]
-        assert set(range(at, at + len(planted[i % 10].split()))) <= out <= want[i], i
+        out, at = removed(got[i]), starts[i]
+        assert set(range(at, at + len(planted[i % 10].split()))) <= out and out == want[i], i
         assert got[i].text.split() == [x for k, x in enumerate(t.split()) if k not in out], i
 
 
@@ -288,7 +332,7 @@ def test_edited_early_copies_hide_no_later_ones(frame):
     assert all(len(want[i]) >= 50 for i, _ in rows if 7 <= i % 30)
     got = {r.doc_id: r for r in line_dedup(frame(rows, "doc_id long, text string").repartition(5)).collect()}
     for i, t in rows:
-        out = {k for x in got[i].runs or [] for k in range(x.first, x.last + 1)}
+        out = removed(got[i])
         assert out == want.get(i, set()) and got[i].removed_words == len(out), i
 
 
@@ -307,14 +351,4 @@ def test_repeated_rows_of_a_document(frame):
     rng = random.Random(2)
     t = passage(rng, 80)
     got = line_dedup(frame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.text == "") for r in got) == [(0, False), (1, False), (1, False), (2, True)]
-
-
-def test_every_step_sees_the_same_text_of_a_repeated_id(frame):
-    rng = random.Random(9)
-    hot = passage(rng, 60).split()
-    rows = [(1, " ".join([*hot[:25], "new", *hot[26:]]))]
-    rows += [(i, t) for i in range(2, 12) for t in (f"a{i} " + " ".join(hot), f"b{i}")]
-    got = line_dedup(frame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert len(got) == len(rows)
-    assert all(r.text == f"a{r.doc_id}" for r in got if r.doc_id > 2 and r.text.startswith("a"))
+    assert sorted((r.doc_id or 0, r.text == "") for r in got) == [(0, True), (1, False), (1, False), (2, True)]

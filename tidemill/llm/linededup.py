@@ -1,27 +1,33 @@
-"""Repeated runs of lines: winnowed line hashes find matches, matches grow both ways, later copies go.
+"""Repeated lines: line hashes and their window minima find matches, matches grow both ways, later copies go.
 
-A passage may begin anywhere in a line, and its copies may be wrapped differently.  So a text counts as wrapped at
-every word: each ``GRAM`` consecutive words (as in ``vectext``, case of A-Z ignored) are a line and have a hash.  Of every
-``WINDOW`` consecutive line hashes the smallest are fingerprints; any run of ``GRAM + WINDOW - 1 = MIN_WORDS`` words
-that two places share, wherever it begins in either, holds the same fingerprints in both.
+Lines are hashed by their words (as in ``vectext``: case of A-Z and white space play no part), at two scales.
 
-Each fingerprint's earliest occurrence (by document id, then position) is joined to every later
-one: as many matches as occurrences, however common the line.  A match is extended
-word by word in both directions; a run of at least ``min_words`` words is deleted from the later place.
+*Lines as written.*  A text's lines end at newlines; lines without words don't count.  The shortest run of whole lines with at least
+``LINE_WORDS`` words that begins at a line, or ends at one, is a window.  A line of so many words is a window by itself; shorter ones
+make windows with their neighbours.  Every run of whole lines with ``LINE_WORDS`` words that two places share is covered by windows that both
+have, so equal hashes of windows are all that has to be found: exactly the lines go that lie in a later occurrence of such a run.
+
+*Lines wrapped at every word.*  A passage may begin inside a line, and its copies may be wrapped differently.  So each ``GRAM``
+consecutive words are a line too.  Of every ``WINDOW`` consecutive ones the smallest hashes are fingerprints (winnowing); any run of
+``GRAM + WINDOW - 1 = MIN_WORDS`` words that two places share, wherever it begins in either, holds the same fingerprints in both.
+Each fingerprint's earliest occurrence is joined to every later one: as many matches as occurrences, however common the line.  A match is
+extended word by word in both directions; a run of at least ``min_words`` words is deleted from the later place.
 Matches whose run ends inside an already deleted one are only looked at for windows before it.
 
 Where the earliest place does not share all of the ``min_words`` words long windows around a fingerprint (it is an edited copy, say),
-those windows meet each other by their own hashes, again each its earliest place: first by hashes of the 16 bits a word
+those windows meet each other by their own hashes, again each its earliest place: first by hashes of the 32 bits a word
 that are at hand, then, for the texts with a window that occurs twice so, by 64-bit hashes made from the texts.  The earliest place of
 a fingerprint needs no part in this: who shares a window with it has met it.  So exactly the words go that lie in a later
 occurrence of any ``min_words`` consecutive words.
 
-Words are compared by 64-bit hashes of lines at fingerprints and by 16 bits a word beyond them, so a run's end may
-take in a word too many once in 65,536 runs.
+Places come in the order of document ids, then positions.  Lines and windows are compared by 64-bit hashes, words on which runs of the second scale
+grow by 32 bits, so a run's end may take in a word too many once in four thousand million runs.
 
-Every deleted word has an earlier copy that stays.  Deleted whole lines take their newline with them; a text of which no
-word is left becomes empty.  Null texts stay null; empty texts, other columns, repeated rows (later by text only if their
-id is later; rows with the same id are treated alike) and empty tables are allowed; rows with a null id are left as they are.
+Every deleted word has an earlier copy.  Deleted whole lines take their newline with them; a text of which no
+word is left becomes empty.  Null texts stay null; empty texts and empty tables are allowed, very long texts are read whole.  Rows are told
+apart by id and text: rows that repeat an id with another text are documents of their own (in the order of a hash of their texts),
+rows equal in both are one document and are cut alike.  Rows without an id come last.  The columns ``runs`` and
+``removed_words`` of the input are replaced, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -33,11 +39,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import vectext as V
-from .store import Scratch
+from .store import LAST, Scratch, row_key
+from .urlfilter import flagged
 
+LINE_WORDS = 5
 GRAM, MIN_WORDS = 20, 50
 WINDOW = MIN_WORDS - GRAM + 1
 _RUN = "array<struct<first: int, last: int, words: int, source: long>>"
+#: Blocks of the broadcast filter that keeps rows without matches out of shuffles: 18 MB; a longer list shuffles all rows.
+FILTER_BLOCKS = 1 << 18
+KEY = ["rid", "mark"]
 _ARROW_RUN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
 
 
@@ -72,22 +83,51 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(kind)))
 
 
-def _rows(batches, gram, window):
+def line_windows(key: np.ndarray, line: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last words of the windows of whole lines, and their hashes; words have a hash, a line's number and a row's."""
+    n = len(key)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    begin = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (row[1:] != row[:-1])))
+    end, own = np.append(begin[1:], n), row[begin]
+    k = np.arange(len(begin))
+    on = np.searchsorted(end, begin + least)  # windows that begin at each line
+    back = np.searchsorted(begin, end - least, "right") - 1  # windows that end at each
+    ahead, behind = np.minimum(on, len(k) - 1), np.maximum(back, 0)
+    ok, ok_back = (on < len(k)) & (own[ahead] == own), (back >= 0) & (own[behind] == own)
+    both = np.unique(np.concatenate([k[ok] * len(k) + on[ok], back[ok_back] * len(k) + k[ok_back]]))
+    first, last = begin[both // len(k)], end[both % len(k)] - 1
+    up, down = V._powers_to(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(key * up[:n], out=total[1:])
+    return first, last, V.mix((total[last + 1] - total[first]) * down[first] + V.ADD[310])
+
+
+def _rows(batches, gram, window, least):
+    """Each text's words, its fingerprints (``lasts`` -1) and its windows of lines with their last words."""
     for whole in batches:
         for k in range(0, whole.num_rows, 1000):
             batch = whole.slice(k, 1000)
             data, offsets = V.utf8(batch.column("text"))
-            words, marks, prints = [], [], []
+            words, marks, lasts, prints = [], [], [], []
             for i, j in V.slices(offsets):
-                key, _, _, row = V.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                short = (key >> np.uint64(48)).astype("<u2")
+                part = data[offsets[i] : offsets[j]]
+                key, start, _, row = V.words(part, offsets[i : j + 1] - offsets[i])
+                short = (key >> np.uint64(32)).astype("<u4")
                 at = V.row_bounds(row, 0, j - i)
-                for a, b in zip(at[:-1], at[1:], strict=True):
+                first, last, found = line_windows(key, np.cumsum(part == 10, dtype=np.int32)[start] if len(start) else start, row, least)
+                where = np.searchsorted(first, at)
+                for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     words.append(short[a:b].tobytes())
-                    at_mark, found = winnow(key[a:b], gram, window)
-                    marks.append(at_mark)
-                    prints.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.binary()), _lists(marks, np.int32), _lists(prints, np.int64)], ["doc_id", "words", "marks", "prints"])
+                    at_mark, grams = winnow(key[a:b], gram, window)
+                    lines = slice(where[r], where[r + 1])
+                    marks.append(np.concatenate([at_mark, first[lines] - a]))
+                    lasts.append(np.concatenate([np.full(len(at_mark), -1), last[lines] - a]))
+                    prints.append(np.concatenate([grams, found[lines]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in KEY), pa.array(words, pa.binary()), _lists(marks, np.int32), _lists(lasts, np.int32), _lists(prints, np.int64)],
+                [*KEY, "words", "marks", "lasts", "prints"],
+            )
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -142,14 +182,14 @@ def _matched(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], min_wo
 def _extended(batches, min_words, window):
     for batch in batches:
         found, starts, texts, before = [], [], [], 0
-        places = batch.column("matches")
+        places = batch.column("grams")
         bounds, flat = places.offsets.to_numpy(), places.values
         pos, at = (flat.field(c).to_numpy() for c in ("pos", "at"))
         for k in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u2") for c in ("words", "source_words"))
+            a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u4") for c in ("words", "source_words"))
             mine = slice(bounds[k], bounds[k + 1])
             order = np.lexsort((at[mine], pos[mine]))
-            source = batch.column("source")[k].as_py()
+            source = batch.column("srid")[k].as_py()
             runs, rest = _matched(a, b, list(zip(pos[mine][order].tolist(), at[mine][order].tolist(), strict=True)), min_words, window)
             found.append([{"first": f, "last": t, "words": t - f + 1, "source": source} for f, t in runs])
             starts.append(rest)
@@ -159,7 +199,7 @@ def _extended(batches, min_words, window):
         key = np.concatenate([a for _, a, _ in texts]).astype(np.uint64) if texts else np.zeros(0, np.uint64)
         hashes = windows(key, np.concatenate([rest + n for n, _, rest in texts]) if texts else np.zeros(0, np.int64), min_words)
         at = _lists(starts, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _ARROW_RUN), at, pa.ListArray.from_arrays(at.offsets, pa.array(hashes))], ["doc_id", "runs", "starts", "hashes"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(found, _ARROW_RUN), at, pa.ListArray.from_arrays(at.offsets, pa.array(hashes))], [*KEY, "runs", "starts", "hashes"])
 
 
 def _hashed(batches, min_words):
@@ -175,7 +215,7 @@ def _hashed(batches, min_words):
                 own = [starts[n].values.to_numpy() + at[n - i] for n in range(i, j)]
                 hashes.append(windows(key, np.concatenate(own), min_words))
             lists = pa.ListArray.from_arrays(_lists([x.values.to_numpy() for x in starts], np.int32).offsets, pa.array(np.concatenate(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), starts, lists], ["doc_id", "starts", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), starts, lists], [*KEY, "starts", "hashes"])
 
 
 def _joined(batches, min_words):
@@ -193,7 +233,7 @@ def _joined(batches, min_words):
                     runs.append({"first": p["pos"], "last": p["pos"] + min_words - 1, "words": min_words, "source": p["source"]})
                 before = now
             found.append(runs)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, _ARROW_RUN)], ["doc_id", "runs"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(found, _ARROW_RUN)], [*KEY, "runs"])
 
 
 def cut(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
@@ -242,73 +282,94 @@ def _cut_rows(batches, text_at):
         yield pa.RecordBatch.from_arrays([*cols, runs, pa.array(lost)], [*names, "runs", "removed_words"])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, runs``: what is to be deleted, for documents that have any (word numbers, words, the earlier document)."""
+def _possible(rows: DataFrame, some: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` with ``__maybe``: false only for those whose key is not among ``some``."""
+    keys = scratch.put(some.select(F.xxhash64(*KEY).alias("key")).distinct(), name)
+    return flagged(rows, F.xxhash64(*[F.col(f"`{c}`") for c in KEY]), keys, keys.count(), FILTER_BLOCKS, deal=False)
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rid, mark, runs``: what is to be deleted, for rows (by ``row_key``) that have any (word numbers, words, the earlier document)."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lines")
     gram = min(GRAM, min_words)
     window = min_words - gram + 1
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def prepared(texts, name):
-        return scratch.put(texts.mapInArrow(lambda it: _rows(it, gram, window), "doc_id long, words binary, marks array<int>, prints array<long>"), name)
-
-    rows = prepared(texts, "rows")
-    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # All steps have to see the same text of an id.
-        texts = scratch.put(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts-once")
-        rows = prepared(texts, "rows-once")
-
-    places = rows.select("doc_id", F.explode(F.arrays_zip("marks", "prints")).alias("m")).select(F.col("m.prints").alias("key"), "doc_id", F.col("m.marks").alias("pos"))
-    earliest = places.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    if not texts.groupBy("rid").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(KEY)
+    else:
+        texts = texts.withColumn("mark", F.lit(0).cast("long"))  # ids say which row is meant
+    kinds = "rid long, mark long, words binary, marks array<int>, lasts array<int>, prints array<long>"
+    rows = scratch.put(texts.mapInArrow(lambda it: _rows(it, gram, window, line_words), kinds), "rows")
+
+    # Both scales in one pass: each hash's earliest place, and every later one joined to it.
+    places = rows.select(*KEY, F.explode(F.arrays_zip("marks", "lasts", "prints")).alias("m")).select(F.col("m.prints").alias("key"), *KEY, F.col("m.marks").alias("pos"), F.col("m.lasts").alias("last"))
+    earliest = places.groupBy("key").agg(F.min(F.struct(*KEY, "pos")).alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
     earliest = scratch.put(earliest, "earliest")  # a join of two shuffles, whose hot partitions Spark can split
     matches = (
         places.join(earliest, "key")
-        .filter("doc_id <> e.doc_id or pos <> e.pos")
-        .groupBy("doc_id", F.col("e.doc_id").alias("source"))
-        .agg(F.collect_list(F.struct("pos", F.col("e.pos").alias("at"))).alias("matches"))
+        .filter("rid <> e.rid or mark <> e.mark or pos <> e.pos")
+        .groupBy(*KEY, F.col("e.rid").alias("srid"), F.col("e.mark").alias("smark"))
+        .agg(F.collect_list(F.when(F.col("last") < 0, F.struct("pos", F.col("e.pos").alias("at")))).alias("grams"), F.collect_list(F.when(F.col("last") >= 0, F.struct("pos", "last"))).alias("lines"))
     )
+    matches = scratch.put(matches, "matches")
+    pairs = matches.filter("size(grams) > 0").select(*KEY, "srid", "smark", "grams")
+    involved = pairs.select(*KEY).union(pairs.select("srid", "smark"))
+    words = _possible(rows.select(*KEY, "words"), involved, scratch, "involved").filter("__maybe").drop("__maybe")
     full = (
-        matches.join(rows.select("doc_id", "words"), "doc_id")
-        .join(rows.select(F.col("doc_id").alias("source"), F.col("words").alias("source_words")), "source")
-        .select("doc_id", "source", "matches", "words", "source_words")
+        pairs.join(words, KEY)
+        .join(words.select(F.col("rid").alias("srid"), F.col("mark").alias("smark"), F.col("words").alias("source_words")), ["srid", "smark"])
+        .select(*KEY, "srid", "grams", "words", "source_words")
     )
-    kinds = f"doc_id long, runs {_RUN}, starts array<int>, hashes array<long>"
+    kinds = f"rid long, mark long, runs {_RUN}, starts array<int>, hashes array<long>"
     found = scratch.put(full.mapInArrow(lambda it: _extended((b.slice(i, 200) for b in it for i in range(0, b.num_rows, 200)), min_words, window), kinds), "found")
 
     def occurrences(df):
-        return df.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("m")).select(F.col("m.hashes").alias("key"), "doc_id", F.col("m.starts").alias("pos"))
+        return df.select(*KEY, F.explode(F.arrays_zip("hashes", "starts")).alias("m")).select(F.col("m.hashes").alias("key"), *KEY, F.col("m.starts").alias("pos"))
 
     def earliest_of(df, name):
-        here = F.struct("doc_id", "pos")
+        here = F.struct(*KEY, "pos")
         return scratch.put(df.groupBy("key").agg(F.min(here).alias("e"), F.max(here).alias("l")).filter("e <> l").drop("l"), name)
 
     open_ = occurrences(found)
-    again = open_.join(earliest_of(open_, "alike").select("key"), "key").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    again = open_.join(earliest_of(open_, "alike").select("key"), "key").groupBy(*KEY).agg(F.array_sort(F.collect_set("pos")).alias("starts"))
     again = scratch.put(again, "again")
-    wanted = scratch.put(again.select(F.col("doc_id").alias("id")), "wanted")  # of known size, so few ids meet the texts without a shuffle of these
-    few = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    exact = scratch.put(few.join(again, "doc_id").mapInArrow(lambda it: _hashed(it, min_words), "doc_id long, starts array<int>, hashes array<long>"), "exact")
+    scratch.drop("rows", "earliest", "alike", "involved")
+    few = _possible(texts, again, scratch, "wanted").filter("__maybe").drop("__maybe")
+    exact = scratch.put(few.join(again, KEY).mapInArrow(lambda it: _hashed(it, min_words), "rid long, mark long, starts array<int>, hashes array<long>"), "exact")
     same = occurrences(exact)
     later = (
         same.join(earliest_of(same, "same"), "key")
-        .filter("doc_id <> e.doc_id or pos <> e.pos")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("pos", F.col("e.doc_id").alias("source"), F.col("e.pos").alias("at"))).alias("places"))
+        .filter("rid <> e.rid or mark <> e.mark or pos <> e.pos")
+        .groupBy(*KEY)
+        .agg(F.collect_list(F.struct("pos", F.col("e.rid").alias("source"), F.col("e.pos").alias("at"))).alias("places"))
     )
-    more = later.mapInArrow(lambda it: _joined(it, min_words), f"doc_id long, runs {_RUN}")
-    runs = found.filter("size(runs) > 0").select("doc_id", "runs").unionByName(more)
-    return scratch.put(runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    more = later.mapInArrow(lambda it: _joined(it, min_words), f"rid long, mark long, runs {_RUN}")
+    lines = matches.filter("size(lines) > 0").select(*KEY, F.expr("transform(lines, x -> struct(x.pos as first, x.last as last, x.last - x.pos + 1 as words, srid as source))").alias("runs"))
+    runs = found.filter("size(runs) > 0").select(*KEY, "runs").unionByName(more).unionByName(lines)
+    source = f"transform(flatten(collect_list(runs)), x -> struct(x.first as first, x.last as last, x.words as words, nullif(x.source, {LAST}L) as source))"
+    out = scratch.put(runs.groupBy(*KEY).agg(F.expr(source).alias("runs")), "runs")
+    scratch.drop("matches", "found", "again", "exact", "same", "wanted")
+    return out
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with shortened texts, and the columns ``runs`` (null: none) and ``removed_words`` (in place of columns of that name)."""
-    runs = repeated_runs(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
+    runs = repeated_runs(docs, min_words, line_words, id_col, text_col).withColumnRenamed("runs", "__runs")
+    scratch = Scratch(docs.sparkSession, "cuts")
     names = [c for c in docs.columns if c not in ("runs", "removed_words")]
     text_at = names.index(text_col)
     own = [F.col(f"`{c}`") for c in names]
-    runs = runs.hint("merge")  # how many runs there are depends on the data: one plan at every size
-    joined = docs.select(*own).join(runs, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    rid, mark = row_key(id_col, text_col)
+    plain = runs.filter("mark <> 0").isEmpty()  # as repeated_runs chose
+    keyed = docs.select(*own, rid.alias("__rid"), (F.lit(0).cast("long") if plain else mark).alias("__mark"))
+    cuts = runs.select(F.col("rid").alias("__rid"), F.col("mark").alias("__mark"), "__runs")
+    keys = scratch.put(cuts.select(F.xxhash64("__rid", "__mark").alias("key")), "keys")
+    asked = flagged(keyed, F.xxhash64("__rid", "__mark"), keys, keys.count(), FILTER_BLOCKS, deal=False)
+    # Rows that the filter does not pass have no runs and need no shuffle.
+    clear = asked.filter("not __maybe").select(*own, F.lit(None).cast(_RUN).alias("runs"), F.lit(0).cast("long").alias("removed_words"))
+    cuts = cuts.hint("merge")  # how many runs there are depends on the data: one plan at every size
+    joined = asked.filter("__maybe").join(cuts, ["__rid", "__mark"], "left").select(*own, "__runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
-    return joined.mapInArrow(lambda it: _cut_rows((b.slice(i, 500) for b in it for i in range(0, b.num_rows, 500)), text_at), f"{kinds}, runs {_RUN}, removed_words long")
+    return clear.unionByName(joined.mapInArrow(lambda it: _cut_rows((b.slice(i, 500) for b in it for i in range(0, b.num_rows, 500)), text_at), f"{kinds}, runs {_RUN}, removed_words long"))
