@@ -132,35 +132,58 @@ def test_the_list_meets_possible_hits_in_a_hash_join(spark, frame):
     assert "strategy=shuffle_hash" in plan
 
 
+def stored(df):
+    return sorted((r.doc_id, r.text or "", r.shard_) for r in df.collect())
+
+
 def test_shards(spark, frame):
     schema = "doc_id long, text string, shard string"
+    plain = frame([], schema).schema
     store = ShardStore(spark, Scratch(spark, "shards").root, target=60_000, fanout=3, shard_rows=20)
-    assert store.version() == 0 and store.read(frame([], schema).schema, 0).collect() == []
+    assert store.version() == 0 and store.read(plain, 0).collect() == [] and store.compact(plain) == 0
     rng = random.Random(0)
-    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 900))) if i % 50 else None, "s") for i in range(700)]
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 900))) if i % 50 else None, f"s{i % 3}") for i in range(700)]
     rows += rows[:3]
-    arrivals = [frame(rows[i : i + 100], schema).drop("shard") for i in range(0, 703, 100)]
-    for df in arrivals:
-        store.append(df)
-    plain = arrivals[0].schema
+    want = sorted((i, t or "", s) for i, t, s in rows)
+    sizes = [300, 200, 100, 50, 30, 20, 3]  # arrivals
+    for k, n in enumerate(sizes):
+        at = sum(sizes[:k])
+        store.append(frame(rows[at : at + n], schema))
+        if k % 2:
+            store.compact(plain)
     before = store.version()
-    small = store.entries().count()
-    old = sorted((r.doc_id, r.text or "") for r in store.read(plain).collect())
+    small = sum(r["files"] for r in store.runs())
+    assert stored(store.read(plain)) == want
     after = store.compact(plain)
-    assert after > before and store.entries().count() < small and store.runs().count() == 0
-    assert sorted((r.doc_id, r.text or "") for r in store.read(plain, before).collect()) == old  # old versions stay readable
+    assert after > before and sum(r["files"] for r in store.runs()) < small and store.plan() == []
+    assert stored(store.read(plain, before)) == want  # old versions stay readable
     store.vacuum()
-    got = store.read(plain).collect()
-    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t, _ in rows) == old
-    sizes = Counter(r.shard for r in got)
-    assert all(sizes[r.shard] == r.shard_rows for r in got)
-    assert store.append(arrivals[0].limit(0)) == after + 1 and store.read(plain).count() == len(rows)
+    got = store.read(plain)
+    assert stored(got) == want and got.columns == ["doc_id", "text", "shard_", "shard", "shard_rows", "shard_bytes"]
+    count = Counter(r.shard for r in got.collect())
+    assert all(count[r.shard] == r.shard_rows and 0 < r.shard_bytes < 2 * 60_000 for r in got.collect())
+    assert store.append(frame([], schema)) == after + 1 and store.read(plain).count() == len(rows)
+
+
+def test_merging_takes_no_shuffle(spark, frame):
+    store = ShardStore(spark, Scratch(spark, "shards").root, target=40_000, fanout=3, shard_rows=50)
+    rng = random.Random(1)
+    df = frame([(i, "".join(rng.choice("abcdefghij") for _ in range(500))) for i in range(1000)], "doc_id long, text string")
+    store.append(df)
+    (group,) = store.plan()
+    merged = store.merged(group, df.schema)
+    assert "Exchange" not in merged._jdf.queryExecution().toString()
+    assert 1 < merged.rdd.getNumPartitions() <= math.ceil(group[0]["bytes"] / 40_000)
+    store.compact(df.schema)
+    (run,) = store.runs()
+    assert run["rows"] == 1000 and run["files"] < group[0]["files"] and run["bytes"] / run["files"] > 0.6 * 40_000
 
 
 def test_a_taken_version_is_not_overwritten(spark, frame):
+    schema = "doc_id long"
     store = ShardStore(spark, Scratch(spark, "shards").root)
-    store.append(frame([(1,)], "doc_id long"))
-    assert store._publish(1, "other") is False and store.read(frame([], "doc_id long").schema, 1).count() == 1
+    store.append(frame([(1,)], schema))
+    assert store._publish(1, []) is False and store.read(frame([], schema).schema, 1).count() == 1
     real, calls = store.version, []
 
     def late():  # another writer commits between reading the version and publishing the next
@@ -168,9 +191,29 @@ def test_a_taken_version_is_not_overwritten(spark, frame):
         return real() - 1 if len(calls) == 1 else real()
 
     store.version = late
-    assert store.append(frame([(2,)], "doc_id long")) == 2
+    assert store.append(frame([(2,)], schema)) == 2
     store.version = real
-    assert store.entries().count() == 2
+    assert len(store.runs()) == 2
+
+
+def test_a_merge_that_comes_too_late_is_given_up(spark, frame):
+    schema = "doc_id long"
+    path = Scratch(spark, "shards").root
+    store, other = (ShardStore(spark, path, fanout=2) for _ in range(2))
+    for k in range(4):
+        store.append(frame([(k,)], schema))
+    real = store.merged
+
+    def slow(group, kind):  # another writer merges the same runs first
+        store.merged = real
+        other.compact(kind)
+        return real(group, kind)
+
+    store.merged = slow
+    store.compact(frame([], schema).schema)
+    assert sorted(r.doc_id for r in store.read(frame([], schema).schema).collect()) == [0, 1, 2, 3] and len(store.runs()) == 1
+    store.vacuum()
+    assert store.read(frame([], schema).schema).count() == 4
 
 
 @pytest.fixture(scope="module")

@@ -1,13 +1,19 @@
 """Size-tiered sharding: small immutable shards, merged by size into target-sized files under a versioned manifest.
 
-Layout below the store's folder: ``data/<run>/part-*.parquet`` (never changed once written), ``manifest/entries-<run>``
-(a Parquet table: file, bytes, rows) and ``manifest/v<number>.json``, which names the entries of a version.  A version
-becomes visible by one rename that fails if the number is taken; a writer that loses the race reads the newer
-version and tries again, and files of a writer that dies are never listed.  Merging works on runs of files of
-one size tier (powers of ``fanout``): a run becomes one file of about ``target`` bytes, written by one task without a shuffle.
-Tasks that are lost are run again by Spark; a failed merge leaves the old version in force.
-
-Rows are stored whole, with all columns, nulls and repeats; an empty append commits a version without new files.
+Layout below the store's folder: ``data/<run>/part-*.parquet`` and ``manifest/v<number>.json``.  A run is a folder of shards that one job
+wrote; it never changes.  A version's manifest lists its runs, each with its number of files, bytes and rows: one entry for an arrival
+or a merge, however many files it has.  A version becomes visible by one rename that fails if the number is taken (file
+systems with an atomic rename are needed, HDFS say; on object stores without one, one writer at a time); a writer that loses
+the race reads the newer version and tries again, and runs of a writer that dies are never listed.
+
+Merging takes the runs whose shards are of one size tier (powers of ``fanout``), if they have ``fanout`` shards or a target's bytes, and rewrites them
+as shards of about ``target`` bytes.  All tiers of a round are one Spark job: a task reads neighbouring shards whole and writes them as
+one file, without a shuffle.  Tasks that are lost are run again by Spark; a failed merge leaves the old version in force; a
+merge whose runs another writer has merged meanwhile is given up and planned anew.  The driver handles runs and versions, never file
+names: Spark lists a run's folder, in parallel if there are many.
+
+Rows are stored whole, with all columns, nulls, repeats and long texts; an empty append commits a version without new rows.  ``read`` adds the
+columns ``shard``, ``shard_rows`` and ``shard_bytes``; columns of the table that have one of these names are read as ``<name>_``.
 DataFrame operations and Hadoop's file system on the driver only.
 """
 
@@ -16,15 +22,18 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .store import delete, filesystem
 
-TARGET, FANOUT, SHARD_ROWS, THREADS = 64 << 20, 4, 1024, 6
-_ENTRY = "file string, bytes long, rows long"
+TARGET, FANOUT, SHARD_ROWS = 64 << 20, 4, 1024
+SMALLEST = 65536.0  # bytes; smaller shards are of tier 0
+FULL = 0.6  # of the target: runs whose shards have so much on average are not merged again
+ADDED = ("shard", "shard_rows", "shard_bytes")
 
 
 class ShardStore:
@@ -41,25 +50,24 @@ class ShardStore:
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         return max((int(x[1:-5]) for x in names if x.startswith("v") and x.endswith(".json")), default=0)
 
-    def entries(self, version: int | None = None) -> DataFrame:
-        """The files of a version."""
+    def runs(self, version: int | None = None) -> list[dict]:
+        """The runs of a version: ``run, files, bytes, rows``."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _ENTRY.split(", "))])
+            return []
         fs, p = filesystem(self.spark, f"{self.path}/manifest/v{version}.json")
         stream = fs.open(p)
         try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["runs"]
         finally:
             stream.close()
-        return self.spark.read.schema(_ENTRY).parquet(f"{self.path}/manifest/{json.loads(text)['entries']}")
 
-    def _publish(self, number: int, entries: str) -> bool:
+    def _publish(self, number: int, runs: list[dict]) -> bool:
         """Make a version visible; False if its number is taken."""
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         fs, draft = filesystem(self.spark, f"{self.path}/manifest/draft-{uuid.uuid4().hex}")
         out = fs.create(draft, False)
-        out.write(bytearray(json.dumps({"version": number, "entries": entries}).encode()))
+        out.write(bytearray(json.dumps({"version": number, "runs": runs}).encode()))
         out.close()
         to = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/v{number}.json")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -72,89 +80,96 @@ class ShardStore:
             raise
         return True
 
-    def _commit(self, added: DataFrame, gone: DataFrame | None = None) -> int:
-        """Add files to the newest version and take others out, atomically."""
+    def _commit(self, added: list[dict], gone: set[str] = frozenset()) -> int | None:
+        """Add runs to the newest version and take others out, atomically; None if another writer took one of those out first."""
         while True:
             base = self.version()
-            old = self.entries(base)
-            if gone is not None:
-                lost = gone.join(old, "file", "left_anti")
-                if not lost.isEmpty():
-                    raise RuntimeError("another writer has merged the same files")
-                old = old.join(gone.select("file"), "file", "left_anti")
-            name = f"entries-{uuid.uuid4().hex}"
-            old.unionByName(added).write.parquet(f"{self.path}/manifest/{name}")
-            if self._publish(base + 1, name):
+            old = self.runs(base)
+            if not gone <= {r["run"] for r in old}:
+                return None
+            if self._publish(base + 1, [r for r in old if r["run"] not in gone] + added):
                 return base + 1
-            delete(self.spark, f"{self.path}/manifest/{name}")
 
-    def _listed(self, folders: list[str], schema) -> DataFrame:
-        """Entries of the files below some folders, from their footers."""
-        rows = self.spark.read.schema(schema).parquet(*folders)
-        return rows.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+    def _folder(self, run: str) -> str:
+        return f"{self.path}/data/{run}"
+
+    def _rows(self, runs: list[dict], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[self._folder(r["run"]) for r in runs])
+
+    def _written(self, run: str, schema: StructType) -> list[dict]:
+        """The manifest's entry of a run that has been written; none if it has no rows."""
+        content = filesystem(self.spark, self._folder(run))
+        total = content[0].getContentSummary(content[1])
+        rows = self.spark.read.schema(schema).parquet(self._folder(run)).count()  # from the footers
+        files = total.getFileCount() - 1  # Spark's mark of success
+        return [{"run": run, "files": files, "bytes": total.getLength(), "rows": rows}] if rows else []
 
     # Data
 
     def append(self, df: DataFrame) -> int:
         """Write an arrival as small shards and commit them."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(folder)
-        return self._commit(self._listed([folder], df.schema))
-
-    def runs(self) -> DataFrame:
-        """What to merge: ``run, files, bytes``; runs hold files of one size tier, ``fanout`` files or a target's bytes at least."""
-        small = self.entries().filter(F.col("bytes") < 0.75 * self.target)
-        total = small.agg(F.sum("bytes")).first()[0] or 0
-        lanes = max(1, math.ceil(total / (256 * self.target)))  # planning is parallel too: a lane holds some hundred runs
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / 65536.0) / math.log(self.fanout)))
-        order = "sum(bytes) over (partition by tier, lane order by file)"
-        placed = small.withColumn("tier", tier).withColumn("lane", F.pmod(F.xxhash64("file"), F.lit(lanes))).withColumn("slot", F.expr(f"cast(({order} - bytes) div {self.target} as long)"))
-        grouped = placed.groupBy("tier", "lane", "slot").agg(F.collect_list("file").alias("files"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-        return grouped.filter((F.col("n") >= self.fanout) | ((F.col("n") > 1) & (F.col("bytes") >= 0.75 * self.target))).select(F.concat_ws("-", "tier", "lane", "slot").alias("run"), "files", "bytes")
-
-    def compact(self, schema) -> int:
-        """Merge until no tier has a run; returns the version."""
-        while True:
-            saved = f"{self.path}/manifest/plan-{uuid.uuid4().hex}"
-            self.runs().write.parquet(saved)
-            runs = self.spark.read.schema("run string, files array<string>, bytes long").parquet(saved)
-            plan = runs.collect()  # file names of the small shards, by run
-            if not plan:
-                delete(self.spark, saved)
-                return self.version()
-
-            def merge(run):
-                folder = f"{self.path}/data/{uuid.uuid4().hex}"
-                self.spark.read.schema(schema).parquet(*run["files"]).coalesce(1).write.option("compression", "zstd").parquet(folder)
-                return folder
-
-            with ThreadPoolExecutor(THREADS) as pool:
-                folders = list(pool.map(merge, plan))
-            self._commit(self._listed(folders, schema), runs.select(F.explode("files").alias("file")))
-            delete(self.spark, saved)
+        run = uuid.uuid4().hex
+        df.write.option("maxRecordsPerFile", self.shard_rows).option("compression", "zstd").parquet(self._folder(run))
+        return self._commit(self._written(run, df.schema))
+
+    def tier(self, run: dict) -> int:
+        """By the mean size of its shards."""
+        return max(0, math.floor(math.log(max(run["bytes"] / max(run["files"], 1), 1) / SMALLEST, self.fanout)))
+
+    def plan(self) -> list[list[dict]]:
+        """Groups of runs to merge, one for a tier."""
+        tiers: dict[int, list[dict]] = {}
+        for r in self.runs():
+            if r["bytes"] < FULL * self.target * r["files"]:
+                tiers.setdefault(self.tier(r), []).append(r)
+        groups = []
+        for _, own in sorted(tiers.items()):
+            files, held = sum(r["files"] for r in own), sum(r["bytes"] for r in own)
+            if files > math.ceil(held / self.target) and (files >= self.fanout or held >= self.target):
+                groups.append(own)
+        return groups
+
+    def merged(self, group: list[dict], schema: StructType) -> DataFrame:
+        """The rows of a group, in as many partitions as shards are wanted: each holds whole input shards or parts of them."""
+        shards = math.ceil(sum(r["bytes"] for r in group) / self.target)
+        return self._rows(group, schema).coalesce(shards)
+
+    def compact(self, schema: StructType) -> int:
+        """Merge until no tier has enough; returns the version."""
+        while groups := self.plan():
+            run, every = uuid.uuid4().hex, [r for g in groups for r in g]
+            # A partition that Spark made larger than a shard is cut by rows.
+            most = math.ceil(1.25 * self.target * sum(r["rows"] for r in every) / sum(r["bytes"] for r in every))
+            rows = reduce(DataFrame.unionByName, [self.merged(g, schema) for g in groups])
+            rows.write.option("maxRecordsPerFile", most).option("compression", "zstd").parquet(self._folder(run))
+            new = self._written(run, schema)
+            fewer = sum(r["files"] for r in new) < sum(r["files"] for r in every)
+            if not fewer or self._commit(new, {r["run"] for r in every}) is None:
+                delete(self.spark, self._folder(run))
+                if not fewer:  # what there is cannot be packed any better
+                    break
+        return self.version()
 
     def vacuum(self) -> None:
-        """Delete files that the newest version does not list."""
+        """Delete runs that the newest version does not list."""
         fs, folder = filesystem(self.spark, f"{self.path}/data")
         if not fs.exists(folder):
             return
-        live = {r["file"].rsplit("/", 1)[1] for r in self.entries().select("file").collect()}
-        for run in fs.listStatus(folder):
-            files = [s.getPath() for s in fs.listStatus(run.getPath())]
-            if not any(p.getName() in live for p in files):
-                fs.delete(run.getPath(), True)
-            else:
-                for p in files:
-                    if p.getName().startswith("part-") and p.getName() not in live:
-                        fs.delete(p, False)
-
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version, with ``shard``, ``shard_bytes`` and ``shard_rows`` of each."""
-        listed = self.entries(version)
-        files = [r["file"] for r in listed.select("file").collect()]
-        named = listed.select(F.col("file").alias("__file"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-        if not files:
-            empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-            return self.spark.range(0).select(*empty, F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows"), F.lit("").alias("shard"))
-        rows = self.spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("__file"))
-        return rows.join(named, "__file").withColumn("shard", F.substring_index("__file", "/", -1)).drop("__file")
+        live = {r["run"] for r in self.runs()}
+        for s in fs.listStatus(folder):
+            if s.getPath().getName() not in live:
+                fs.delete(s.getPath(), True)
+
+    def read(self, schema: StructType, version: int | None = None) -> DataFrame:
+        """The rows of a version, with each one's ``shard``, ``shard_rows`` and ``shard_bytes``."""
+        runs = self.runs(version)
+        named = [F.col(f"`{f.name}`").alias(f"{f.name}_" if f.name in ADDED else f.name) for f in schema]
+        if not runs:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.select(*named, F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"))
+        file = F.substring_index("_metadata.file_path", "/", -1)
+        rows = self._rows(runs, schema)
+        counted = rows.select(file.alias("__file")).groupBy("__file").agg(F.count("*").alias("shard_rows"))
+        held = rows.select(*named, file.alias("__file"), F.col("_metadata.file_size").alias("shard_bytes"))
+        shards = ["shard", "shard_rows", "shard_bytes"]
+        return held.join(counted, "__file").withColumnRenamed("__file", "shard").select(*[c for c in held.columns if c not in ("__file", "shard_bytes")], *shards)
