@@ -1,9 +1,8 @@
-"""Bounded samples of labelled texts for models that are fitted on the driver."""
+"""Bounded samples of labelled texts."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Folds of the hold-out rule; rows of fold 0 are never learned from.
@@ -15,19 +14,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("0")).cast("binary")) % FOLDS == 0
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> pa.Table:
-    """At most ``rows`` pairs (text, label) outside the held-out fold, by the order of a hash of the id.
+def sample_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, even: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``rows`` rows ``id, text, label`` outside the held-out fold, by the order of a hash of the id; texts are whole, however long.
 
-    ``labels`` has one row per labelled document.  The chosen ids are few (``rows``
-    bounds them), so they are broadcast to one scan of the texts.  Texts longer than
-    ``longest`` characters are left out of the sample, which bounds what the driver holds.
+    ``even``: as many rows for each label, as far as there are, so that rare labels are learned too.
+    Of an id's several labels or texts the smallest counts; rows without an id or a label play no part.
+    The chosen ids are few (``rows`` bounds them), so they are broadcast to one scan of the texts.
     """
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
-        .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(rows)
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= longest)
-    found = texts.join(F.broadcast(chosen), "id").select("id", "text", "label").toArrow()
-    return found.sort_by([("id", "ascending"), ("text", "ascending")])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
+    order = [F.xxhash64("id"), F.col("id"), F.col("label")]
+    if even:
+        kinds = known.select("label").distinct().limit(rows).count()
+        best = Window.partitionBy("label").orderBy(*order)
+        known = known.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max(1, rows // max(kinds, 1))).drop("n")
+    chosen = known.orderBy(*order).limit(rows).groupBy("id").agg(F.min("label").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

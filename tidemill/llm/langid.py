@@ -6,13 +6,16 @@ Expectation-maximisation estimates the mixture's proportions for a set of langua
 starts with the single likeliest language and grows by the language whose addition
 raises the log-likelihood most, while the gain is above the penalty
 ``PENALTY * log(trigrams)`` per language.  The prediction is the language of
-the largest proportion; its proportion is the score.
+the largest proportion.  Its score is the posterior mean of that proportion (a uniform prior over the learned languages counts like one
+trigram of each) times the posterior probability of the language against those that were left out.
 
-The trigram models are counted on a bounded sample of labelled texts: ``SAMPLE`` rows,
-each of ``LONGEST`` characters at most, none of them from the held-out fold.  Every text is scored whole.
+The trigram models are counted by executors on a bounded sample of labelled texts of any length: ``SAMPLE`` rows, as many for each language as
+far as there are, none of them from the held-out fold.  The model has 65,536 numbers a language.  Every text is scored whole, however long.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything when no
-labelled text exists.  Ties go to the language that sorts first.
+labelled text exists.  Ties go to the language that sorts first.  Rows are judged one by one, so repeated rows and equal texts have equal
+results; an empty table gives an empty result.  ``with_language`` adds the columns ``__lang``, ``__score`` and ``__langs``, in place of columns
+of these names; other columns stay.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import vectext as V
 from .labelled import held_out, sample_texts
+from .store import Scratch
 
-SAMPLE, LONGEST = 4000, 20_000
+SAMPLE = 4000
 BITS = 16
 SMOOTH = 0.5
 PENALTY = 8.0
@@ -64,15 +68,26 @@ def has_letter(text: str | None) -> bool:
     return any(ch.isalpha() for ch in text[:64]) or any(ch.isalpha() for ch in text)
 
 
-def fit(texts: pa.Array, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Names, and a matrix (bucket, language) of probabilities."""
-    names = sorted(set(langs))
+def _counted(batches):
+    """Trigrams of each label, of one partition."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for (u, c), lang in zip(_grams(batch.column("text")), batch.column("label").to_pylist(), strict=True):
+            counts.setdefault(lang, np.zeros(1 << BITS))[u] += c
+    for lang, held in sorted(counts.items()):
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(held[some])], ["label", "gram", "n"])
+
+
+def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names, and a matrix (bucket, language) of probabilities, of ``text, label``."""
+    rows = sample.select("text", F.col("label").cast("string").alias("label")).mapInArrow(_counted, "label string, gram int, n double").groupBy("label", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(rows["label"].to_pylist()))
     counts = np.zeros((1 << BITS, len(names)))
     where = {x: k for k, x in enumerate(names)}
-    for (u, c), lang in zip(_grams(texts), langs, strict=True):
-        counts[u, where[lang]] += c
+    counts[rows["gram"].to_numpy(), np.array([where[x] for x in rows["label"].to_pylist()], np.int64)] = rows["n"].to_numpy()
     counts += SMOOTH * 1e-2
-    return names, (counts / counts.sum(axis=0)).astype(np.float64) if names else counts
+    return names, counts / counts.sum(axis=0) if names else counts
 
 
 def proportions(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -84,8 +99,8 @@ def proportions(p: np.ndarray, c: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
     return pi, float(c @ np.log(p @ pi))
 
 
-def infer(p: np.ndarray, c: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """The chosen set of languages and its proportions."""
+def infer(p: np.ndarray, c: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The chosen set of languages, its proportions, and every language's log-likelihood alone."""
     single = c @ np.log(p)
     chosen, pi, best = [int(single.argmax())], np.ones(1), float(single.max())
     price = PENALTY * np.log(c.sum() + 1.0)
@@ -100,7 +115,14 @@ def infer(p: np.ndarray, c: np.ndarray) -> tuple[list[int], np.ndarray]:
         if ll - best <= price:
             break
         chosen, pi, best = cols, q, ll
-    return chosen, pi
+    return chosen, pi, single
+
+
+def confidence(language: int, share: float, chosen: list[int], single: np.ndarray, grams: float) -> float:
+    """The score of a prediction; see the module's text."""
+    left = [k for k in range(len(single)) if k not in chosen]
+    posterior = 1.0 / (1.0 + np.exp(np.minimum(single[left] - single[language], 700.0)).sum())
+    return float(posterior * (share * grams + 1.0) / (grams + len(single)))
 
 
 def _predict(batches, names, table, text_col, drop):
@@ -115,10 +137,10 @@ def _predict(batches, names, table, text_col, drop):
                 continue
             if not len(u):  # letters, but no trigram
                 u, c = np.array([_BLANK]), np.ones(1)
-            chosen, pi = infer(table[u], c)
+            chosen, pi, single = infer(table[u], c)
             order = sorted(range(len(chosen)), key=lambda i: (-pi[i], names[chosen[i]]))
             lang.append(names[chosen[order[0]]])
-            score.append(float(min(1.0, max(0.0, pi[order[0]]))))
+            score.append(confidence(chosen[order[0]], float(pi[order[0]]), chosen, single, float(c.sum())))
             mixture.append([names[chosen[i]] for i in order])
         new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != drop), *new], [*(n for n in batch.schema.names if n != drop), "__lang", "__score", "__langs"])
@@ -130,9 +152,10 @@ def with_language(docs: DataFrame, learn_from: DataFrame | None = None, label: s
     ``learn_from`` (``docs`` by default) has ids, texts and the language column ``label``.
     """
     ship(docs.sparkSession)
+    docs = docs.drop("__lang", "__score", "__langs")
     source = docs if learn_from is None else learn_from
-    got = sample_texts(source, source, label, SAMPLE, LONGEST, id_col, text_col)
-    names, table = fit(got["text"], got["label"].to_pylist())
+    scratch = Scratch(docs.sparkSession, "language")
+    names, table = fit(scratch.put(sample_texts(source, source, label, SAMPLE, True, id_col, text_col), "sample"))
     drop = None if keep_text else text_col
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != drop)
     return docs.mapInArrow(

@@ -1,13 +1,16 @@
 """Toxicity by a linear classifier over character n-grams scaled with naive Bayes log-count ratios.
 
-Features are the presence of byte 4- and 5-grams (letters folded) in the whole text.  On the labelled
+Features are the presence of byte 4-, 5- and 6-grams (letters folded) in the whole text.  On the labelled
 sample each n-gram gets the smoothed log-count ratio r of its counts in toxic and
 other texts; the ``FEATURES`` n-grams with the most significant ratios stay.  A logistic
 regression with an L2 penalty is trained on the presence vectors multiplied by r.
 
-The sample holds ``SAMPLE`` labelled rows at most, each of ``LONGEST`` characters at most, none from
-the held-out fold.  Every text is scored whole; null and empty texts get the score of a text
-without features.  Without labels of both kinds every score is the share of toxic labels (0 if none).
+The sample holds ``SAMPLE`` labelled rows at most, of any length, none from the held-out fold.  Executors count its n-grams and find its
+features; the driver gets the chosen n-grams and one list of feature numbers a row.
+
+Every text is scored whole, however long; null and empty texts get the score of a text without features.  Without labels of both kinds
+every score is next to the label there is (0 if none).  Rows are scored one by one, so repeated rows and equal texts have equal scores; an
+empty table gives an empty result.  ``with_toxicity`` adds the column ``__toxic``, in place of one of that name; other columns stay.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import vectext as V
 from .labelled import held_out, sample_texts
+from .store import Scratch
 
-SAMPLE, LONGEST = 8000, 20_000
-BITS, SIZES = 20, (4, 5)
+SAMPLE = 8000
+BITS, SIZES = 20, (4, 5, 6)
 FEATURES = 1024
 SMOOTH = 1.0
 LAMBDA = 1e-4
@@ -78,31 +82,58 @@ def _logistic(rows, cols, n, m, y, steps=300):
     return w, b
 
 
-def fit(texts: pa.Array, y: np.ndarray) -> Model:
-    none = Model(np.zeros(1 << BITS, np.uint32), np.zeros(1), -35.0)
-    if not len(y) or y.min() == y.max():
-        none.bias = 35.0 if len(y) and y.max() > 0 else -35.0
-        return none
-    counts = np.zeros((2, 1 << BITS))
-    for i, _, row, g in _present(texts):
-        for k in (0, 1):
-            counts[k] += np.bincount(g[y[row + i] == k], minlength=1 << BITS)
-    p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
-    r = np.log((p / (SMOOTH + y.sum())) / (q / (SMOOTH + len(y) - y.sum())))
-    share = y.mean()
-    seen = counts.sum(axis=0)
-    z = (counts[1] - share * seen) / np.sqrt(share * (1 - share) * seen + 1.0)
-    z[seen < 4] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] != 0])
-    feature = np.zeros(1 << BITS, np.uint32)
-    feature[best] = np.arange(1, len(best) + 1)
-    scale = np.concatenate([[0.0], r[best]])
-    # The texts are read again rather than kept as n-grams: the driver holds one slice and the chosen features.
-    parts = [(row.astype(np.int32) + i, f.astype(np.int32)) for i, _, row, f in _present(texts, feature)]
-    rows, cols = (np.concatenate(x) for x in zip(*parts, strict=True))
-    w, b = _logistic(rows, (cols, scale[cols]), len(y), len(scale), y.astype(np.float64))
-    return Model(feature, w * scale, b)
+def _constant(toxic: bool) -> Model:
+    return Model(np.zeros(1 << BITS, np.uint32), np.zeros(1), 35.0 if toxic else -35.0)
+
+
+def _counted(batches):
+    """Texts of either label that hold each n-gram, of one partition."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        toxic = batch.column("label").to_numpy(zero_copy_only=False).astype(bool)
+        for i, _, row, g in _present(batch.column("text")):
+            for k in (0, 1):
+                counts[k] += np.bincount(g[toxic[row + i] == k], minlength=1 << BITS)
+    some = np.flatnonzero(counts.any(axis=0))
+    for k in range(0, len(some), 100_000):
+        at = some[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["gram", "other", "toxic"])
+
+
+def _found(batches, table):
+    """Each text's feature numbers."""
+    for batch in batches:
+        lists: list[np.ndarray] = []
+        for i, j, row, f in _present(batch.column("text"), table):
+            lists += np.split(f.astype(np.int32), np.searchsorted(row, np.arange(1, j - i)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["id", "label", "features"])
+
+
+def _sliced(batches, rows=1000):
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def fit(sample: DataFrame) -> Model:
+    """The model of ``id, text, label``; ``sample`` is read several times."""
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0))).first()
+    if toxic in (0, n):
+        return _constant(n > 0 and toxic == n)
+    counts = sample.select("text", "label").mapInArrow(lambda it: _counted(_sliced(it)), "gram int, other long, toxic long").groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    seen, share = F.col("other") + F.col("toxic"), toxic / n
+    z = (F.col("toxic") - share * seen) / F.sqrt(share * (1 - share) * seen + 1.0)
+    best = counts.filter(seen >= 4).withColumn("z", z).filter("z <> 0").orderBy(F.abs("z").desc(), "gram").limit(FEATURES).toPandas().sort_values("gram")
+    ratio = np.log(((best["toxic"] + SMOOTH) / (SMOOTH + toxic)) / ((best["other"] + SMOOTH) / (SMOOTH + n - toxic))).to_numpy()
+    table = np.zeros(1 << BITS, np.uint32)
+    table[best["gram"].to_numpy()] = np.arange(1, len(best) + 1)
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.select("id", "text", F.col("label").cast("int").alias("label")).mapInArrow(lambda it: _found(_sliced(it), table), f"id {kind}, label int, features array<int>").toArrow().sort_by("id")
+    y = rows["label"].to_numpy().astype(np.float64)
+    held = rows["features"].combine_chunks()
+    cols = held.flatten().to_numpy().astype(np.int64)
+    who = np.repeat(np.arange(len(y)), np.diff(held.offsets.to_numpy()))
+    scale = np.concatenate([[0.0], ratio])
+    w, b = _logistic(who, (cols, scale[cols]), len(y), len(scale), y)
+    return Model(table, w * scale, b)
 
 
 def _score(batches, model, text_col, drop):
@@ -117,11 +148,12 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | No
     ``labels`` has ids and the 0/1 column ``label``; texts to learn from come from ``learn_from`` (``docs`` by default).
     """
     ship(docs.sparkSession)
-    got = sample_texts(docs if learn_from is None else learn_from, labels, label, SAMPLE, LONGEST, id_col, text_col)
-    model = fit(got["text"], np.array(got["label"].to_pylist(), dtype=np.int64))
+    docs = docs.drop("__toxic")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    model = fit(scratch.put(sample_texts(docs if learn_from is None else learn_from, labels, label, SAMPLE, False, id_col, text_col), "sample"))
     drop = None if keep_text else text_col
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != drop)
-    return docs.mapInArrow(lambda it: _score((b.slice(i, 1000) for b in it for i in range(0, b.num_rows, 1000)), model, text_col, drop), f"{fields}, __toxic double")
+    return docs.mapInArrow(lambda it: _score(_sliced(it), model, text_col, drop), f"{fields}, __toxic double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
