@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import packing, segment, topk
-from tidemill.llm.queries import RULES, tokenizer
+from tidemill.llm.queries import RULES, op1_packing, op2_sharding, op4_sampled_segmentations, tokenizer
 from tidemill.llm.sharding import ShardStore
 from tidemill.llm.store import Scratch
 from tidemill.llm.urlfilter import bloom, flagged, judge
@@ -290,3 +290,44 @@ def test_encoding_round_trip(spark, frame):
     again = segment.sample_segmentations(df.repartition(5), model)
     assert sorted(map(repr, enc.collect())) == sorted(map(repr, again.collect()))
     assert segment.sample_segmentations(df.limit(0), model).collect() == []
+
+
+def test_segmentation_query_decodes_to_the_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_sampled_segmentations(spark, sf).collect()
+    assert Counter(r.doc_id for r in got) == {i: 2 if t else 1 for i, t in docs.items()}
+    assert all(r.decoded_crc32 == zlib.crc32((docs[r.doc_id] or "").encode()) and r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 2 * r.n_pieces for r in got)
+    assert len({(r.doc_id, bytes(r.ids)) for r in got}) == len(got)
+
+
+def test_packing_query_on_whole_documents(spark):
+    from tokenizers import Tokenizer
+
+    sf, tok = "/root/testdata/sf0.001", Tokenizer.from_file(tokenizer())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces: dict = {}
+    rows = op1_packing(spark, sf).collect()
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert pieces.keys() == docs.keys()
+    for i, own in pieces.items():
+        ids = np.array([*tok.encode(docs[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    placed = sorted((r.sequence_id * 1024 + r.offset, r.length) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:], strict=False)) and placed[0][0] == 0
+
+
+def test_sharding_query_holds_every_row(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = {(r.doc_id, r.n_chars, r.lang, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op2_sharding(spark, sf).collect()
+    count = Counter(r.shard for r in got)
+    assert {(r.doc_id, r.n_chars, r.lang, r.text_sha256) for r in got} == docs and len(got) == len(docs)
+    assert all(r.shard_rows == count[r.shard] for r in got)

@@ -70,8 +70,9 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples of every document: their ids, and the CRC of what these decode to."""
     found = sample_segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
-    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return found.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

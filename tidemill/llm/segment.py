@@ -16,13 +16,17 @@ Lattices fall apart where no piece spans two neighbouring characters, so sums an
 distinct part within a slice of texts, by array operations.  All random numbers are hashes of the row's key and
 of the place where they are used: results don't depend on batches, partitions or retries.
 
+Decoding joins the pieces' bytes, turns marks into spaces and takes the one in front away; it gives the text back, byte by byte.
+
 Null and empty texts have one segmentation without pieces.  Texts with fewer than k segmentations
-give all they have.  Repeated keys give equal rows for equal texts; other columns play no part.
+give all they have.  Long texts are searched whole: a slice holds ``CHARS`` characters or one text.  Repeated keys give equal rows for equal
+texts; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -243,8 +247,6 @@ def _seed(keys: list) -> np.ndarray:
 
 
 def hash_key(key) -> int:
-    import zlib
-
     text = repr(key).encode()
     return (zlib.crc32(text) << 32) | zlib.crc32(text[::-1] + b"#")
 
@@ -382,16 +384,28 @@ def _ids(lat, path):
     return ids.astype(np.uint16 if len(lat.vocab.pieces) <= 65536 else np.uint32)
 
 
+@lru_cache(maxsize=2)
+def _spelled(vocab: Vocabulary) -> list[bytes]:
+    """The bytes of each id."""
+    out = [piece.replace(MARK, " ").encode() for piece in vocab.pieces]
+    for b, i in enumerate(vocab.bytes.tolist()):
+        out[i] = bytes([b])
+    return out
+
+
+def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> bytes:
+    """The text of a list of ids, in UTF-8."""
+    return b"".join(map(_spelled(vocab).__getitem__, ids.tolist()))[1:]
+
+
 def decode(vocab: Vocabulary, ids) -> str:
     """The text of a list of ids."""
-    value = {int(i): b for b, i in enumerate(vocab.bytes)}
-    raw = b"".join(bytes([value[int(i)]]) if int(i) in value else vocab.pieces[int(i)].replace(MARK, " ").encode() for i in ids)
-    return raw.decode("utf-8", "surrogatepass")[1:]
+    return decode_bytes(vocab, np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass")
 
 
 def _encoded(batches, path, k):
     vocab = vocabulary(path)
-    names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "threshold"]
+    names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "threshold", "decoded_crc32"]
     for whole in batches:
         for i in range(0, whole.num_rows, 1500):
             batch = whole.slice(i, 1500)
@@ -400,15 +414,18 @@ def _encoded(batches, path, k):
             rows = [(r, s, *x) for r, own in enumerate(found) for s, x in enumerate(own, 1)]
             who = pa.array([r[0] for r in rows], pa.int64())
             cols = [batch.column("doc_id").take(who), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([len(r[2]) for r in rows], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([float(r[c]) for r in rows], pa.float64()) for c in (3, 4, 5))], names)
+            decoded = pa.array([zlib.crc32(decode_bytes(vocab, r[2])) for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([float(r[c]) for r in rows], pa.float64()) for c in (3, 4, 5)), decoded], names)
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, sample`` (from 1), ``ids`` (little-endian 16-bit numbers), ``n_pieces, log_prob, perturbed, threshold, inclusion``."""
+    """``doc_id, sample`` (from 1), ``ids`` (little-endian 16-bit numbers), ``n_pieces, log_prob, perturbed, threshold, inclusion``,
+    and ``decoded_crc32`` of what the ids decode to.
+    """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.mapInArrow(lambda it: _encoded(it, model, k), f"doc_id {kind}, sample int, ids binary, n_pieces long, log_prob double, perturbed double, threshold double")
+    found = rows.mapInArrow(lambda it: _encoded(it, model, k), f"doc_id {kind}, sample int, ids binary, n_pieces long, log_prob double, perturbed double, threshold double, decoded_crc32 long")
     return found.withColumn("inclusion", 1 - F.exp(-F.exp(F.col("log_prob") - F.col("threshold"))))
 
 
