@@ -73,6 +73,7 @@ def brute_top(rows, k, every):
 def test_top_k_against_brute_force(frame, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES", 5)
+    monkeypatch.setattr(topk, "ROUNDS", (1, 2, 4))
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6) * rng.choice([0.1, 1, 5])]) for i in range(150)]
     rows += [(i, rows[0][1]) for i in range(150, 180)]  # ties

@@ -4,22 +4,23 @@ Vectors are lists of numbers; component x counts as the integer floor(``scale``
 non-finite components take no part.  Shorter vectors are read as ending in zeros. Scores are exact while
 they stay below 2**53.
 
-Vectors are range-sorted by length, longest first, and stored as blocks of at most ``BLOCK`` rows; queries are stored as
-blocks of ``QUERIES``.  Every query block first meets the block of the longest vectors, which gives each query a lower
-bound for its k-th score.  Then it meets each other block whose longest vector can still reach some bound (Cauchy-Schwarz on the
-lengths).  Inside a block, products are summed over the first ``HEAD`` axes of a rotation (the
-singular vectors of a bounded sample, strongest first) and pairs are dropped when this partial sum plus the product of
-the remaining lengths stays below the bound; the rest are computed exactly.  Each meeting returns k rows
-a query at most, and the best k of those are the result: ties go to the smaller id.
+Vectors are range-sorted by length, longest first, and stored as blocks of at most ``BLOCK`` rows.  Blocks are met in rounds
+of descending length: the ``ROUNDS`` first ones in small rounds, then the rest.  After each round every query has its k best so far, whose
+least score bounds what can still matter; queries are sorted by the length that a vector needs to reach their bound (Cauchy-Schwarz) and put into blocks of
+``QUERIES`` with similar needs, and a block of queries meets a block of vectors only if the longest of these has the least need's length.
+Inside a meeting, products are summed over the first ``HEAD`` axes of a rotation (the singular vectors of a bounded sample, strongest
+first) and pairs are dropped when this partial sum plus the product of the remaining lengths stays below the bound; the rest are computed
+exactly.  Each meeting returns k rows a query at most, and the best k of those are the result: ties go to the smaller id.
 
 A query is never its own candidate (rows that share its id are left out).  Rows that repeat an id are candidates one by one;
-queries that share an id give the answers of the first by content.  Empty tables give an empty result.
+queries that share an id give the answers of the first by content.  Empty tables give an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,52 +28,51 @@ from ..session import ship
 from .store import Scratch
 
 SCALE, BLOCK, QUERIES, HEAD, SAMPLE = 256, 4096, 512, 24, 4096
-_BLOCKS = "part long, n int, longest double, ids binary, vectors binary"
+ROUNDS = (1, 8, 64)
+_BLOCKS = "part long, longest double, least double, ids binary, vectors binary, bounds binary"
 
 
 def _whole(batches, scale):
+    """Ids, lengths and components of the vectors that take part."""
     for batch in batches:
-        ids, out, size = [], [], []
-        for k, v in zip(batch.column("vec_id"), batch.column("embedding"), strict=True):
-            x = v.as_py()
-            if x is None or any(c is None for c in x) or k.as_py() is None:
-                continue
-            a = np.array(x, dtype=np.float64)
-            if np.isfinite(a).all():
-                a = np.floor(scale * a)
-                ids.append(k.as_py())
-                out.append(a.tobytes())
-                size.append(float(np.sqrt(a @ a)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.float64()), pa.array(out, pa.binary())], ["vec_id", "size", "vector"])
+        ids, lists = batch.column("vec_id"), batch.column("embedding")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are NaN
+        row = np.repeat(np.arange(len(lists)), sizes)
+        ok = pc.and_(ids.is_valid(), lists.is_valid()).to_numpy(zero_copy_only=False) & (np.bincount(row[~np.isfinite(flat)], minlength=len(lists)) == 0)
+        own = ok[row]
+        values = np.floor(scale * flat[own])
+        length = np.sqrt(np.bincount(row[own], values * values, minlength=len(lists)))[ok]
+        ends = np.concatenate([[0], np.cumsum(sizes[ok])]).astype(np.int32) * 8
+        vectors = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(length), vectors], ["vec_id", "size", "vector"])
 
 
 def _stacked(batches, rows, dims):
-    """Consecutive rows as blocks."""
-    held, at = [], 0
-
-    def block(part):
-        m = np.zeros((len(part), dims))
-        for k, (_, _, v) in enumerate(part):
-            a = np.frombuffer(v)
-            m[k, : len(a)] = a
-        ids = np.array([p[0] for p in part], np.int64)
-        return [len(part), float(max(p[1] for p in part)), ids.tobytes(), m.tobytes()]
-
+    """Consecutive rows as blocks of whole matrices; ``size`` orders them, ``bound`` may be missing."""
     from pyspark import TaskContext
 
-    me = TaskContext.get().partitionId()
-    for batch in batches:
-        held += zip(batch.column("vec_id").to_pylist(), batch.column("size").to_pylist(), batch.column("vector").to_pylist(), strict=True)
-        while len(held) >= rows:
-            yield _block_row([(me << 32) + at, *block(held[:rows])])
-            held, at = held[rows:], at + 1
-    if held:
-        yield _block_row([(me << 32) + at, *block(held)])
+    me, at, held, count = TaskContext.get().partitionId(), 0, [], 0
 
+    def block(table):
+        m = np.zeros((len(table), dims))
+        for k, v in enumerate(table["vector"].to_pylist()):
+            m[k, : len(v) // 8] = np.frombuffer(v)
+        size = table["size"].to_numpy()
+        bounds = table["bound"].to_numpy().astype(np.float64).tobytes() if "bound" in table.column_names else None
+        row = [(me << 32) + at, float(size.max()), float(size.min()), table["vec_id"].to_numpy().astype(np.int64).tobytes(), m.tobytes(), bounds]
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["part", "longest", "least", "ids", "vectors", "bounds"])
 
-def _block_row(row):
-    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["part", "n", "longest", "ids", "vectors"])
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        while count >= rows:
+            whole = pa.Table.from_batches(held)
+            yield block(whole.slice(0, rows))
+            held, at, count = whole.slice(rows).to_batches(), at + 1, count - rows
+    if count:
+        yield block(pa.Table.from_batches(held))
 
 
 def meet(qid, q, bound, vid, v, rotation, k):
@@ -110,30 +110,9 @@ def _met(batches, rotation, k):
         for r in batch.to_pylist():
             qid, vid = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
             q, v = np.frombuffer(r["q_vectors"]).reshape(-1, dims), np.frombuffer(r["vectors"]).reshape(-1, dims)
-            bound = np.frombuffer(r["bounds"]) if r["bounds"] is not None else np.full(len(qid), -np.inf)
-            found = meet(qid, q, bound, vid, v, rotation, k)
+            found = meet(qid, q, np.frombuffer(r["bounds"]), vid, v, rotation, k)
             who = np.repeat(qid, [len(a) for a, _ in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(who), r["q_part"])), pa.array(who), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([b for _, b in found]))],
-                ["q_part", "query_id", "vec_id", "score"],
-            )
-
-
-def _bounded(batches, k):
-    """Query blocks with each query's k-th score so far, and the least length that a useful vector must have."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            qid = np.frombuffer(r["q_ids"], np.int64)
-            q = np.frombuffer(r["q_vectors"]).reshape(len(qid), -1)
-            have: dict[int, list[int]] = {}
-            for s in r["seen"] or []:
-                have.setdefault(s["query_id"], []).append(s["score"])
-            bound = np.array([sorted(have.get(int(i), []))[-k] if len(have.get(int(i), [])) >= k else -np.inf for i in qid], np.float64)
-            size = np.sqrt((q * q).sum(1))
-            need = np.where(bound > 0, bound / np.maximum(size, 1e-300), 0.0)
-            row = [[r["q_part"]], [r["q_ids"]], [r["q_vectors"]], [bound.tobytes()], [float(need.min())]]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["q_part", "q_ids", "q_vectors", "bounds", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([b for _, b in found]))], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -159,25 +138,49 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id
 
     sorted_ = plain.repartitionByRange(F.desc("size"), "vec_id").sortWithinPartitions(F.desc("size"), "vec_id")
     blocks = scratch.put(sorted_.mapInArrow(lambda it: _stacked(it, BLOCK, dims), _BLOCKS), "blocks")
-    asks = asked.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    asks = scratch.put(asks.mapInArrow(lambda it: _stacked(it, QUERIES, dims), _BLOCKS).select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "asks")
-    out = "q_part long, query_id long, vec_id long, score long"
-
-    longest = blocks.orderBy(F.desc("longest"), "part").limit(1)
-    lead = longest.select("part", "ids", "vectors").withColumn("one", F.lit(1))
-    first = asks.withColumn("one", F.lit(1)).withColumn("bounds", F.lit(None).cast("binary")).join(F.broadcast(lead), "one").drop("one", "part")  # one block of at most BLOCK vectors
-    found = scratch.put(first.mapInArrow(lambda it: _met(it, rotation, k), out), "found")
-    seen = found.groupBy("q_part").agg(F.collect_list(F.struct("query_id", "score")).alias("seen"))  # QUERIES * k rows at most
-    ready = scratch.put(asks.join(seen, "q_part", "left").mapInArrow(lambda it: _bounded(it, k), "q_part long, q_ids binary, q_vectors binary, bounds binary, need double"), "ready")
-
-    # Which block meets which is decided on their numbers alone: a query block is sent to the blocks that can matter.
-    done = [r["part"] for r in longest.select("part").collect()]
-    lanes = max(1, blocks.count() // 1000)  # a lane lists about a thousand blocks
-    lane = F.pmod(F.xxhash64("part"), F.lit(lanes))
-    sizes = blocks.filter(~F.col("part").isin(done)).groupBy(lane.alias("lane")).agg(F.collect_list(F.struct("part", "longest")).alias("all"))
-    needs = ready.select("q_part", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-    meets = needs.join(sizes, "lane").select("q_part", "need", F.explode("all").alias("b")).filter("b.longest >= need * (1 - 1e-9)").select("q_part", F.col("b.part").alias("part"))
-    second = meets.join(blocks.select("part", "ids", "vectors"), "part").join(ready, "q_part").drop("part", "need")
-    rest = second.mapInArrow(lambda it: _met(it, rotation, k), out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    lead = [(r["part"], r["longest"]) for r in blocks.orderBy(F.desc("longest"), "part").limit(sum(ROUNDS)).select("part", "longest").collect()]
+
+    def ready(best, name):
+        """Queries in blocks of similar needs, with each one's k-th score so far."""
+        rows = asked.withColumn("bound", F.lit(float("-inf")))
+        if best is not None:
+            last = best.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
+            rows = asked.join(last, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        need = F.when(F.col("bound") > 0, F.col("bound") / F.greatest("size", F.lit(1e-300))).otherwise(0.0)
+        rows = rows.select("vec_id", need.alias("size"), "vector", "bound").repartitionByRange("size", "vec_id").sortWithinPartitions("size", "vec_id")
+        made = rows.mapInArrow(lambda it: _stacked(it, QUERIES, dims), _BLOCKS)
+        return scratch.put(made.select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "bounds", F.col("least").alias("need")), name)
+
+    def met(asks, meets, best, name):
+        """The best k of each query after some meetings (q_part, part)."""
+        both = meets.join(blocks.select("part", "ids", "vectors"), "part").join(asks, "q_part").select("q_ids", "q_vectors", "bounds", "ids", "vectors")
+        found = both.mapInArrow(lambda it: _met(it, rotation, k), "query_id long, vec_id long, score long")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return scratch.put(top, name) if name else top
+
+    best, at = None, 0
+    for n, size in enumerate(ROUNDS):
+        some = lead[at : at + size]
+        if not some:
+            break
+        at += size
+        asks = ready(best, f"asks-{n}")
+        listed = F.explode(F.array(*[F.struct(F.lit(p).cast("long").alias("part"), F.lit(x).alias("longest")) for p, x in some]))
+        meets = asks.select("q_part", "need", listed.alias("b")).filter("b.longest >= need * (1 - 1e-9)").select("q_part", "b.part")
+        best = met(asks, meets, best, f"best-{n}")
+    result = ["query_id", "rank", "vec_id", "score"]
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rest = blocks.filter(~F.col("part").isin([p for p, _ in lead]))
+    left = rest.count()
+    if left:
+        # Which block meets which is decided on their numbers alone: a block of queries is sent to the blocks that can matter.
+        asks = ready(best, "asks")
+        lanes = max(1, left // 1000)  # a lane lists about a thousand blocks
+        sizes = rest.groupBy(F.pmod(F.xxhash64("part"), F.lit(lanes)).alias("lane")).agg(F.collect_list(F.struct("part", "longest")).alias("all"))
+        needs = asks.select("q_part", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+        meets = needs.join(sizes, "lane").select("q_part", "need", F.explode("all").alias("b")).filter("b.longest >= need * (1 - 1e-9)").select("q_part", "b.part")
+        best = met(asks, meets, best, None)
+    return best.select(*result)
