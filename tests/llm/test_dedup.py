@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ from tidemill.llm.components import components
 from tidemill.llm.exactdedup import directory, exact_duplicates, route
 from tidemill.llm.linededup import extend, line_dedup, winnow
 from tidemill.llm.neardup import near_duplicates, without_near_duplicates
+from tidemill.llm.queries import op7_line_dedup
 from tidemill.llm.store import Scratch
 
 DOCS = "doc_id long, text string, bands string, score int, runs int"
@@ -143,8 +145,6 @@ ROWS = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (6, "A"), (7, "a "), (
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_duplicates(frame, weak):
-    import hashlib
-
     from pyspark.sql import functions as F
 
     args = {"hash_of": lambda c: F.xxhash64(F.length(c) % 3), "capacity": 1, "hot": 3} if weak else {}
@@ -352,3 +352,15 @@ def test_repeated_rows_of_a_document(frame):
     t = passage(rng, 80)
     got = line_dedup(frame([(1, t), (1, t), (2, t), (None, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text == "") for r in got) == [(0, True), (1, False), (1, False), (2, True)]
+
+
+def test_line_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    want = brute_repeats(rows)
+    got = {r.doc_id: r for r in op7_line_dedup(spark, sf).collect()}
+    assert got.keys() == {i for i, _ in rows}
+    for x, (i, text) in enumerate(rows):
+        assert removed(got[i]) == want.get(x, set())
+        if x not in want:
+            assert got[i].text_sha256 == hashlib.sha256(text.encode()).hexdigest()

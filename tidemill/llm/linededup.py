@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,6 +167,8 @@ def _matched(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int]], min_wo
         beyond = done + 1
         if i <= done and (beyond >= len(a) or beyond - i + j >= len(b) or a[beyond] != b[beyond - i + j]):
             back = min(i, j, window - 1)  # no further than windows with this place reach
+            if i - back >= since:  # all of it lies in a run that is known
+                continue
             first, last = (x + i - back for x in extend(a[i - back : i + min_words], b[j - back : j + min_words], back, back))
         else:
             first, last = extend(a, b, i, j)
@@ -236,47 +239,74 @@ def _joined(batches, min_words):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(found, _ARROW_RUN)], [*KEY, "runs"])
 
 
+def cut_slice(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Texts without the words first..last of each run (of the text ``row``), and how many words each lost."""
+    n = len(offsets) - 1
+    _, start, end, own = V.words(data, offsets)
+    at = V.row_bounds(own, 0, n)
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.add.at(edge, at[row] + np.minimum(first, np.diff(at)[row]), 1)
+    np.add.at(edge, at[row] + np.minimum(last + 1, np.diff(at)[row]), -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    lost = np.bincount(own[gone], minlength=n)
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, start)
+    other = np.append(True, own[1:] != own[:-1])[: len(own)]
+    opens = other | np.append(True, line[1:] != line[:-1])[: len(own)]
+    closes = np.append(opens[1:], True)[: len(own)]
+    f = np.flatnonzero(gone & (other | ~np.append(False, gone[:-1])[: len(gone)]))
+    t = np.flatnonzero(gone & (np.append(other[1:], True)[: len(gone)] | ~np.append(gone[1:], False)[: len(gone)]))
+    begin, stop = offsets[own[f]], offsets[own[f] + 1]
+    marks = np.concatenate([[-1], breaks, [len(data)]])
+    a = np.where(opens[f], np.maximum(marks[np.searchsorted(breaks, start[f])] + 1, begin), start[f])
+    b = np.minimum(marks[np.searchsorted(breaks, end[t]) + 1] + 1, stop)
+    tail = closes[t] & ~opens[f]  # a line's beginning stays, and so does its newline
+    a[tail] = end[f[tail] - 1]
+    b[tail] -= data[b[tail] - 1] == 10
+    on = ~closes[t]
+    b[on] = start[t[on] + 1]
+    away = np.zeros(len(data) + 1, np.int64)
+    np.add.at(away, a, 1)
+    np.add.at(away, b, -1)
+    stay = np.cumsum(away[:-1]) == 0
+    kept, where = data[stay].tobytes(), np.concatenate([[0], np.cumsum(stay)])[offsets]
+    out = []
+    for k in range(n):
+        text = kept[where[k] : where[k + 1]]
+        if at[k + 1] > at[k] and gone[at[k + 1] - 1]:
+            if lost[k] == at[k + 1] - at[k]:
+                text = b""
+            elif data[offsets[k + 1] - 1] != 10:
+                text = text.rstrip(b"\n")
+        out.append(text)
+    return out, lost
+
+
 def cut(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
     """The text without the words of the runs, and how many those are."""
-    data = np.frombuffer(text, np.uint8)
-    _, start, end, _ = V.words(data, np.array([0, len(data)]))
-    gone = np.zeros(len(start), bool)
-    for r in runs:
-        gone[r["first"] : r["last"] + 1] = True
-    if gone.all():
-        return b"", len(gone)
-    line = np.cumsum(data == 10)[start]
-    opens = np.append(True, line[1:] != line[:-1])
-    closes = np.append(opens[1:], True)
-    stay = np.ones(len(data), bool)
-    for f, t in zip(np.flatnonzero(gone & ~np.append(False, gone[:-1])), np.flatnonzero(gone & ~np.append(gone[1:], False)), strict=True):
-        a = text.rfind(b"\n", 0, start[f]) + 1 if opens[f] else int(start[f])
-        if not closes[t]:
-            b = int(start[t + 1])
-        else:
-            b = text.find(b"\n", int(end[t])) + 1 or len(text)
-            if not opens[f]:  # a line's beginning stays, and so does its newline
-                a = int(end[f - 1])
-                b -= text[b - 1] == 10
-        stay[a:b] = False
-    out = data[stay].tobytes()
-    if gone[-1] and not text.endswith(b"\n"):
-        out = out.rstrip(b"\n")
-    return out, int(gone.sum())
+    first, last = (np.array([r[c] for r in runs], np.int64) for c in ("first", "last"))
+    out, lost = cut_slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.zeros(len(runs), np.int64), first, last)
+    return out[0], int(lost[0])
 
 
 def _cut_rows(batches, text_at):
     for batch in batches:
         runs, column = batch.column("__runs"), batch.column(text_at)
         lost = np.zeros(batch.num_rows, np.int64)
-        with_runs = [k for k in range(batch.num_rows) if runs[k].is_valid]
-        if with_runs:
-            new = column.to_pylist()
-            for k in with_runs:
-                if new[k]:
-                    left, lost[k] = cut(new[k].encode(), runs[k].as_py())
-                    new[k] = left.decode()
-            column = pa.array(new, pa.string())
+        having = pc.and_(runs.is_valid(), column.is_valid())
+        some = np.flatnonzero(having.to_numpy(zero_copy_only=False))
+        if len(some):
+            data, offsets = V.utf8(column.take(pa.array(some)))
+            held = runs.take(pa.array(some))
+            bounds, flat = held.offsets.to_numpy(), held.values
+            first, last = (flat.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+            texts = []
+            for i, j in V.slices(offsets):
+                mine = slice(bounds[i], bounds[j])
+                row = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+                new, lost[some[i:j]] = cut_slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], row, first[mine], last[mine])
+                texts += new
+            column = pc.replace_with_mask(column, having, pa.array(texts, pa.binary()).cast(column.type))
         cols = [column if k == text_at else batch.column(k) for k in range(batch.num_columns - 1)]
         names = batch.schema.names[:-1]
         yield pa.RecordBatch.from_arrays([*cols, runs, pa.array(lost)], [*names, "runs", "removed_words"])
