@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemill.plans.catalog import CATALOG
+from tidemill.plans.catalog import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -18,9 +18,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(CATALOG))
+@pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, duck, name):
-    q = CATALOG[name]
+    q = queries()[name]
     df = q(spark, SF)
     rows = sorted(map(repr, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
     if q.sql is None:

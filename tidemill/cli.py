@@ -31,6 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--output", help="write the whole result as CSV into this folder")
     run.add_argument("--charts", help="write chart pages into this folder")
     run.add_argument("--strict", action="store_true", help="nulls against the declared types are errors")
+    run.add_argument("--encoding", default="auto", help="of CSV files; found out unless it is given")
+    run.add_argument("--multiline", action=argparse.BooleanOptionalAction, help="whether quoted cells of CSV files hold line breaks; found out unless it is said")
     run.add_argument("--verbose", action="store_true", help="show the plan first")
     for name, text in (("check", "check columns and types"), ("plan", "show the steps"), ("hash", "print the script's SHA-256")):
         sub.add_parser(name, help=text).add_argument("file")
@@ -97,7 +99,7 @@ def _do(a) -> int:
         if a.verbose:
             print(translate.describe(text), end="")
         # Files that are there are meant; other paths are left to Spark's default file system.
-        session = Session(_spark(), strict=a.strict, chart_folder=a.charts, path_of=lambda p: os.path.abspath(p) if os.path.exists(p) else p)
+        session = Session(_spark(), strict=a.strict, chart_folder=a.charts, encoding=a.encoding, multiline=a.multiline, keep=True, path_of=lambda p: os.path.abspath(p) if os.path.exists(p) else p)
         df = session.run(text)
         for line in session.messages:
             print(line)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -86,11 +88,13 @@ def replace(df: DataFrame, op: T.Op) -> DataFrame:
 
 
 def sample(df: DataFrame, op: T.Op) -> DataFrame:
-    """Exactly n rows (all, if fewer).  With a seed the choice depends on the rows' contents alone, not on partitions."""
-    if op.seed is None:
-        return df.orderBy(F.rand()).limit(op.n)
+    """Exactly n rows (all, if fewer), chosen by a hash of the rows' contents and the seed, whatever the partitions.
+
+    Without a seed one is drawn when the pipeline is built, so all readers of the result see the same rows.
+    """
+    seed = random.getrandbits(62) if op.seed is None else op.seed
     cols = [column(c) for c in df.columns]
-    keys = [F.xxhash64(*cols, F.lit(op.seed)), F.xxhash64(F.lit(op.seed), *cols)]
+    keys = [F.xxhash64(*cols, F.lit(seed)), F.xxhash64(F.lit(seed), *cols)]
     return df.orderBy(*keys).limit(op.n)
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import FILES
 from .runner import run
 
 
@@ -73,9 +74,11 @@ _add("order_take_asc", _one("orders", '|> orderBy("o_orderkey") |> take(10)'), "
 _add("order_take_desc", _one("orders", '|> orderBy("o_orderkey", desc: true) |> take(10)'), "select * from orders order by o_orderkey desc limit 10")
 _add("order_last_wins", _one("orders", '|> orderBy("o_totalprice") |> orderBy("o_orderkey", desc: false) |> take(7)'), "select * from orders order by o_orderkey limit 7")
 
-_FEW = f"v few = {_t('orders', '|> filter(o_orderkey < 500)')}\n"
+# Unmatched rows and nulls come from conditions on values, so they grow with the tables.
+_FEW = f"v few = {_t('orders', '|> filter(o_orderstatus == \"F\") |> filter(o_totalprice > 300000.0)')}\n"
+_FEW_SQL = "(select * from orders where o_orderstatus = 'F' and o_totalprice > 300000)"
 _LEFT = _FEW + f"v both = {_t('customer', '|> select([c_custkey, c_name])')} |> join(few, left_on: \"c_custkey\", right_on: \"o_custkey\", how: \"left\")\n"
-_LEFT_SQL = "customer left join (select * from orders where o_orderkey < 500) o on c_custkey = o_custkey"
+_LEFT_SQL = f"customer left join {_FEW_SQL} o on c_custkey = o_custkey"
 _COLS = "c_custkey, c_name, o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 _add("drop_null", _LEFT + 'v out = both |> dropNull("o_orderkey")', f"select {_COLS} from {_LEFT_SQL} where o_orderkey is not null")
 _add("fill_null_int", _LEFT + 'v out = both |> fillNull("o_orderkey", 0)', f"select {_COLS.replace('o_orderkey', 'coalesce(o_orderkey, 0) as o_orderkey')} from {_LEFT_SQL}")
@@ -83,15 +86,15 @@ _add("fill_null_float", _LEFT + 'v out = both |> fillNull("o_totalprice", -1.5)'
 _add("fill_null_str", _LEFT + 'v out = both |> fillNull("o_orderstatus", "none")', f"select {_COLS.replace('o_orderstatus', chr(39).join(['coalesce(o_orderstatus, ', 'none', ') as o_orderstatus']))} from {_LEFT_SQL}")
 _add(
     "order_nulls_first",
-    _LEFT + 'v out = both |> filter(c_custkey < 40) |> select([o_orderkey]) |> orderBy("o_orderkey", desc: true) |> take(30)',
-    f"select o_orderkey from {_LEFT_SQL} where c_custkey < 40 order by o_orderkey desc nulls first limit 30",
+    _LEFT + 'v out = both |> select([o_orderkey]) |> orderBy("o_orderkey", desc: true) |> take(30)',
+    f"select o_orderkey from {_LEFT_SQL} order by o_orderkey desc nulls first limit 30",
 )
 
 _add("join_inner", f"v c = {_t('customer')}\nv out = {_t('orders')} |> join(c, left_on: \"o_custkey\", right_on: \"c_custkey\")",
      "select o.*, c.* exclude (c_custkey) from orders o join customer c on o_custkey = c_custkey")
 _add("join_left", _LEFT + "v out = both", f"select {_COLS} from {_LEFT_SQL}")
-_add("join_outer", _FEW + f"v out = {_t('customer', '|> filter(c_custkey < 300)')} |> join(few, left_on: \"c_custkey\", right_on: \"o_custkey\", how: \"outer\")",
-     "select * from (select * from customer where c_custkey < 300) full join (select * from orders where o_orderkey < 500) on c_custkey = o_custkey")
+_add("join_outer", _FEW + f"v out = {_t('customer', '|> filter(c_mktsegment == \"BUILDING\")')} |> join(few, left_on: \"c_custkey\", right_on: \"o_custkey\", how: \"outer\")",
+     f"select * from (select * from customer where c_mktsegment = 'BUILDING') full join {_FEW_SQL} on c_custkey = o_custkey")
 _add("join_outer_same_name", f"v few = {_t('nation', '|> filter(n_nationkey < 12)')}\nv out = {_t('nation', '|> filter(n_nationkey > 5)')} |> join(few, on: \"n_nationkey\", how: \"outer\")",
      "select a.*, b.n_nationkey as n_nationkey_right, b.n_name as n_name_right, b.n_regionkey as n_regionkey_right from (select * from nation where n_nationkey > 5) a "
      "full join (select * from nation where n_nationkey < 12) b on a.n_nationkey = b.n_nationkey")
@@ -151,8 +154,8 @@ _add("workload_fill_count", _workload('v out = raw |> fillNull("value", 0) |> fi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(CATALOG)
+    return dict(CATALOG) | FILES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in CATALOG.items() if q.sql}
+    return {name: q.sql for name, q in queries().items() if q.sql}

@@ -1,8 +1,9 @@
 """Programs to lazy DataFrames.
 
 Statements run in order; one that fails is logged and the rest go on, and the program's result is the last
-variable that was bound.  Nothing is computed until a result, a sink or a check asks for it, so filters and
-column choices reach the scan across variables.  ``groupBy`` waits for the next aggregate, which consumes it.
+variable that was bound.  No rows are computed until a result, a sink or a check asks for them, so filters and
+column choices reach the scan across variables (loading CSV files may look through them once, see ``sources.load``).  ``groupBy`` waits
+for the next aggregate, which consumes it.
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ log = logging.getLogger("tidemill")
 class Session:
     """Variables and types of a program, and what happened while it ran."""
 
-    def __init__(self, spark: SparkSession, strict: bool = False, chart_folder: str | None = None, path_of: Callable[[str], str] = str, encoding: str = "auto", tables: dict[str, DataFrame] | None = None):
-        """``path_of`` maps the script's paths (a sandbox may refuse some); ``strict`` makes warnings errors."""
-        self.spark, self.strict, self.chart_folder, self.path_of, self.encoding = spark, strict, chart_folder, path_of, encoding
+    def __init__(self, spark: SparkSession, strict: bool = False, chart_folder: str | None = None, path_of: Callable[[str], str] = str, encoding: str = "auto", tables: dict[str, DataFrame] | None = None, multiline: bool | None = None, keep: bool = False):
+        """``path_of`` maps the script's paths (a sandbox may refuse some); ``strict`` makes warnings errors.
+
+        ``keep``: results with several readers that take a shuffle are kept on disk until ``close``.
+        """
+        self.spark, self.strict, self.chart_folder, self.path_of = spark, strict, chart_folder, path_of
+        self.encoding, self.multiline, self.keep = encoding, multiline, keep
         self.variables: dict[str, DataFrame] = dict(tables or {})
         self.types: dict[str, Fields] = {}
         self.declared: dict[str, Fields] = {}
@@ -103,10 +108,10 @@ class Session:
     def source(self, s: T.Load | T.Ref) -> DataFrame:
         if isinstance(s, T.Ref):
             return self.variable(s.name)
-        return load(self.spark, self.path_of(s.path), self.types.get(s.schema), self.encoding)
+        return load(self.spark, self.path_of(s.path), self.types.get(s.schema), self.encoding, self.multiline)
 
     def pipeline(self, source: T.Load | T.Ref, ops: tuple[T.Op, ...], name: str) -> DataFrame:
-        df, key, drawn = self.source(source), None, False
+        df, key = self.source(source), None
         for op in ops:
             if op.name == "groupBy":
                 key = op.key
@@ -123,13 +128,10 @@ class Session:
             elif op.name == "sample":
                 if self.strict and df.limit(op.n).count() < op.n:
                     raise ScriptError("data", f"sample of {op.n} from fewer rows", op.line)
-                df, drawn = SIMPLE["sample"](df, op), drawn or op.seed is None
+                df = SIMPLE["sample"](df, op)
             elif op.name != "count":  # a count without a column leaves rows as they are
                 df = SIMPLE[op.name](df, op)
-        if drawn:  # every reader has to see the same rows
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._held.append(df)
-        elif self._uses[name] > 1 and any(op.name in (*AGGREGATES, "join", "sample") for op in ops):
+        if self.keep and self._uses[name] > 1 and any(op.name in (*AGGREGATES, "join", "sample") for op in ops):
             # Several readers of a result that takes a shuffle; plain scans are cheaper to read again, pruned.
             df = df.persist(StorageLevel.DISK_ONLY)
             self._held.append(df)
@@ -150,7 +152,7 @@ def reads(s) -> list[str]:
 
 
 def run(spark: SparkSession, text: str, **options) -> DataFrame:
-    """The result of a script; its first error if nothing was bound."""
+    """The result of a script, which holds nothing on the cluster; its first error if nothing was bound."""
     session = Session(spark, **options)
     out = session.run(text)
     if out is None:

@@ -27,7 +27,7 @@ def compute(df: DataFrame) -> None:
 def run_csv(spark: SparkSession, path: str) -> dict[str, float]:
     """Seconds for each output of the workload, and in all."""
     began = time.time()
-    session = Session(spark)
+    session = Session(spark, keep=True)
     session.run(SCRIPT.replace("{path}", path))
     if session.errors:
         raise RuntimeError(session.errors[0])

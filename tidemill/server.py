@@ -39,7 +39,7 @@ def inside(root: str):
 
 
 def execute(spark: SparkSession, code: str, root: str) -> dict:
-    session = Session(spark, path_of=inside(root))
+    session = Session(spark, path_of=inside(root), keep=True)
     try:
         df = session.run(code)
         got = sinks.result(df) if df is not None else {"rows": [], "schema": []}

@@ -1,4 +1,4 @@
-"""What a session needs before this package's Python code can run on its executors."""
+"""What a session needs besides Spark: this package's code on its executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -8,9 +8,26 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+CHECKPOINT = "spark.checkpoint.dir"
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on a local master may go without it (tests); a cluster
+    without the setting is an error, since a machine-local folder would lose data.
+    """
+    base = spark.conf.get(CHECKPOINT, None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
+    base = tempfile.mkdtemp(prefix="tidemill-")
+    spark.conf.set(CHECKPOINT, base)
+    return base
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application (Spark's file server distributes it)."""
     app = spark.sparkContext.applicationId

@@ -13,9 +13,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 
 from ..functions.expressions import column
-from ..lang.errors import unknown_column
+from ..lang.errors import ScriptError, unknown_column
 
-RESULT_ROWS, CHART_ROWS, SHOWN_ROWS = 500, 10_000, 5
+RESULT_ROWS, SHOWN_ROWS = 500, 5
+#: A chart holds every row; tables with more rows than this are refused, not cut.
+CHART_ROWS = 100_000
 NAMES = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "string": "str", "boolean": "bool"}
 
 
@@ -56,20 +58,19 @@ def chart_spec(df: DataFrame, args: dict) -> dict:
             err.message = f"VIZ001: {err.message}"
             raise err
     own = {k: args[k] for k in ("x", "y", "label", "value") if k in args}
-    data = rows_json(df.select(*[column(c) for c in df.columns]), CHART_ROWS)
-    total = len(data) if len(data) < CHART_ROWS else df.count()
-    cut = {"totalRows": total, "shownRows": len(data)} if total > len(data) else {}
-    return {"chartType": args["kind"], "title": args.get("title", ""), **own, **cut, "data": data}
+    data = rows_json(df.select(*[column(c) for c in df.columns]), CHART_ROWS + 1)
+    if len(data) > CHART_ROWS:
+        raise ScriptError("data", f"VIZ004: a chart of more than {CHART_ROWS} rows", hint="aggregate or take rows first")
+    return {"chartType": args["kind"], "title": args.get("title", ""), **own, "data": data}
 
 
 def chart_page(spec: dict) -> str:
     """A page that draws the chart with inline SVG; every value is escaped, nothing is fetched."""
     data = json.dumps(spec, ensure_ascii=False, allow_nan=False).replace("<", "\\u003c").replace("&", "\\u0026")
     title = html.escape(spec["title"] or spec["chartType"])
-    cut = f"<p>{spec['shownRows']} of {spec['totalRows']} rows</p>" if "totalRows" in spec else ""
     return f"""<!doctype html>
 <html><head><meta charset="utf-8"><title>{title}</title></head>
-<body><h1>{title}</h1>{cut}<svg id="c" width="900" height="480" font-size="11"></svg>
+<body><h1>{title}</h1><svg id="c" width="900" height="480" font-size="11"></svg>
 <script type="application/json" id="spec">{data}</script>
 <script>
 const s = JSON.parse(document.getElementById("spec").textContent), c = document.getElementById("c");
