@@ -33,6 +33,8 @@ from .store import delete, filesystem
 TARGET, FANOUT, SHARD_ROWS = 64 << 20, 4, 1024
 SMALLEST = 65536.0  # bytes; smaller shards are of tier 0
 FULL = 0.6  # of the target: runs whose shards have so much on average are not merged again
+#: Up to so many shards their counts are broadcast to the rows (some 100 bytes a shard); beyond it rows and counts are shuffled by shard.
+BROADCAST_SHARDS = 100_000
 ADDED = ("shard", "shard_rows", "shard_bytes")
 
 
@@ -170,6 +172,8 @@ class ShardStore:
         file = F.substring_index("_metadata.file_path", "/", -1)
         rows = self._rows(runs, schema)
         counted = rows.select(file.alias("__file")).groupBy("__file").agg(F.count("*").alias("shard_rows"))
+        if sum(r["files"] for r in runs) <= BROADCAST_SHARDS:
+            counted = F.broadcast(counted)
         held = rows.select(*named, file.alias("__file"), F.col("_metadata.file_size").alias("shard_bytes"))
         shards = ["shard", "shard_rows", "shard_bytes"]
         return held.join(counted, "__file").withColumnRenamed("__file", "shard").select(*[c for c in held.columns if c not in ("__file", "shard_bytes")], *shards)
