@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-CAPACITY, HOT, TOP = 1024, 1024, 14
+CAPACITY, HOT, TOP = 256, 1024, 14
 BUCKET = ["depth", "bucket"]
 
 
