@@ -24,9 +24,12 @@ def sample_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, even
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
     order = [F.xxhash64("id"), F.col("id"), F.col("label")]
     if even:
-        kinds = known.select("label").distinct().limit(rows).count()
-        best = Window.partitionBy("label").orderBy(*order)
-        known = known.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max(1, rows // max(kinds, 1))).drop("n")
+        counts = known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(rows)
+        quota = max(1, rows // max(counts.count(), 1))
+        # A hash thins out common labels first, to a little over the quota, so that no task sorts all rows of one.
+        place = F.pmod(F.xxhash64("id", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
+        thin = known.join(F.broadcast(counts), "label").filter(place * F.col("n") < 1.3 * quota + 30).drop("n")
+        known = thin.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("n") <= quota).drop("n")
     chosen = known.orderBy(*order).limit(rows).groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
