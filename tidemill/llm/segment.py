@@ -385,17 +385,23 @@ def _ids(lat, path):
 
 
 @lru_cache(maxsize=2)
-def _spelled(vocab: Vocabulary) -> list[bytes]:
-    """The bytes of each id."""
+def _spelled(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids one after another, and where each id's begin (one more entry than ids)."""
     out = [piece.replace(MARK, " ").encode() for piece in vocab.pieces]
     for b, i in enumerate(vocab.bytes.tolist()):
         out[i] = bytes([b])
-    return out
+    return np.frombuffer(b"".join(out), np.uint8), np.cumsum([0, *map(len, out)])
 
 
 def decode_bytes(vocab: Vocabulary, ids: np.ndarray) -> bytes:
     """The text of a list of ids, in UTF-8."""
-    return b"".join(map(_spelled(vocab).__getitem__, ids.tolist()))[1:]
+    flat, begin = _spelled(vocab)
+    first = begin[ids]
+    size = begin[ids.astype(np.int64) + 1] - first
+    ends = np.cumsum(size)
+    if not len(ids):
+        return b""
+    return flat[np.repeat(first - ends + size, size) + np.arange(ends[-1])].tobytes()[1:]
 
 
 def decode(vocab: Vocabulary, ids) -> str:
