@@ -39,9 +39,28 @@ def test_pipeline(spark):
     assert {r[0] for r in want} == ids
 
 
-def test_documents_without_an_id_pass_near_dedup(spark, frame):
+def test_documents_without_an_id_take_part_in_near_dedup(spark, frame):
     import corpus_pipeline as P
 
-    rows = [(1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (None, "h i j k l m n", "en", "s", 13)]
-    got = P.near_dedup(spark, frame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
-    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "a"), (0, "h"), (1, "a")]
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (None, "h i j k l m n"), (None, "h i j k l m n"), (4, "o p q r s t"), (4, "u v w x y z"), (5, "u v w x y z")]
+    rows = [(i, t, "en", "s", 13) for i, t in texts]
+    got = P.near_dedup(spark, frame(rows, SCHEMA), "").collect()
+    # Only copies go: what no other row has stays, with or without an id, and under a repeated one.
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "h"), (1, "a"), (4, "o"), (4, "u")]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup"])
+def test_stages_keep_what_is_clean_in_odd_tables(spark, frame, name):
+    import corpus_pipeline as P
+
+    stage = dict(P.STAGES)[name]
+    sf = "/root/testdata/sf0.001"
+    rows = [(None, "no id here at all", "en", "s", 1), (7, "one text of seven words or so", None, None, None), (7, "another text under the same old number", "en", "s", 1), (8, None, "en", "s", 0), (9, "", "en", "s", 0), (10, "long words " * 9000, "en", "s", 1)]
+    got = stage(spark, frame([(*r, 5) for r in rows], SCHEMA + ", runs int"), sf)
+    assert got.columns == P.COLUMNS
+    want = rows if name != "line_dedup" else [r for r in rows if r[0] != 10]  # its repeated words go
+    assert sorted((repr(r[0]), r[1] or "") for r in got.collect() if name != "line_dedup" or r[0] != 10) == sorted((repr(r[0]), r[1] or "") for r in want)
+    assert stage(spark, frame([], SCHEMA), sf).collect() == []
