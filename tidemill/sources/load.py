@@ -46,8 +46,11 @@ def _odd_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     line = F.col("value")
     foreign = ~F.call_function("is_valid_utf8", line)
     quotes = F.length(line.cast("binary")) - F.length(F.replace(line, F.lit('"'), F.lit("")).cast("binary"))
-    found = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max(foreign).alias("foreign"), F.max(~foreign & (quotes % 2 == 1)).alias("broken"))
-    rows = found.filter("foreign or broken").collect()
+    broken = ~foreign & line.contains('"') & (quotes % 2 == 1)
+    lines, marks = spark.read.text(path), [F.max(foreign).alias("foreign"), F.max(broken).alias("broken")]
+    if not any(lines.agg(*marks).first()):  # the usual case needs no names
+        return [], []
+    rows = lines.groupBy(F.col("_metadata.file_path").alias("f")).agg(*marks).filter("foreign or broken").collect()
     return sorted(_one_form(r["f"]) for r in rows if r["foreign"]), sorted(_one_form(r["f"]) for r in rows if not r["foreign"])
 
 
