@@ -11,6 +11,7 @@ from pyspark.sql import types as S
 from ..functions.expressions import REAL, WHOLE, column, compile_expr, is_number
 from ..lang import tree as T
 from ..lang.errors import ScriptError, unknown_column
+from . import ranks
 
 CASTS = {"float": "double", "int": "bigint", "str": "string", "bool": "boolean"}
 
@@ -92,10 +93,7 @@ def sample(df: DataFrame, op: T.Op) -> DataFrame:
 
     Without a seed one is drawn when the pipeline is built, so all readers of the result see the same rows.
     """
-    seed = random.getrandbits(62) if op.seed is None else op.seed
-    cols = [column(c) for c in df.columns]
-    keys = [F.xxhash64(*cols, F.lit(seed)), F.xxhash64(F.lit(seed), *cols)]
-    return df.orderBy(*keys).limit(op.n)
+    return ranks.sample(df, op.n, random.getrandbits(62) if op.seed is None else op.seed)
 
 
 def _ignoring_nan(agg, name: str, kind: S.DataType) -> Column:
@@ -122,6 +120,8 @@ def aggregate(df: DataFrame, op: T.Op, key: str | None) -> DataFrame:
         out = _ignoring_nan(F.min if op.name == "min" else F.max, op.column, kind)
     else:
         out = {"count": F.count, "mean": F.avg, "median": F.median, "variance": F.var_samp, "std": F.stddev_samp}[op.name](c)
+    if op.name == "median" and key is None:
+        return ranks.median(df.select(c.alias(op.column)))
     grouped = df.groupBy(column(key)) if key is not None else df.groupBy()
     return grouped.agg(out.alias(op.column))
 
