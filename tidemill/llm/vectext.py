@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
