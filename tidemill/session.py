@@ -9,6 +9,10 @@ import zipfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Bytes of rows that an executor hands to Python at once, unless the session says otherwise: Spark's 64 MB are held several
+#: times over, outside the heap and in the worker, by each of an executor's tasks.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -29,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application (Spark's file server distributes it)."""
+    """Send this package to the executors, once per application (Spark's file server distributes it), and keep batches for Python small."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
