@@ -13,6 +13,8 @@ from ..session import shared_dir
 
 #: In place of a missing id: such rows come after all others.
 LAST = 2**63 - 1
+#: Spark's switch for deleting an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[Scratch] = []
 
 
@@ -30,10 +32,15 @@ class Scratch:
         _made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it read back: short lineage, survives lost executors."""
+        """Write ``df`` and return it read back: short lineage, survives lost executors; the write's shuffle files go when it ends."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
